@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lexmill.llm import bpe, fingerprints, language, quality
+from lexmill.llm import bpe, decontaminate, fingerprints, language, neardup, quality
 
 QUERIES = {
     "op2_bpe": bpe.query,
     "op4_language": language.query,
+    "op6_neardup": neardup.query,
+    "op8_decontaminate": decontaminate.query,
     "op9_fingerprints": fingerprints.query,
     "op10_quality": quality.query,
 }
