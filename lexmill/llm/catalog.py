@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lexmill.llm import bpe, decontaminate, fingerprints, language, neardup, quality
+from lexmill.llm import bpe, decontaminate, fingerprints, language, neardup, quality, repeats
 
 QUERIES = {
+    "op1_repeats": repeats.query,
     "op2_bpe": bpe.query,
     "op4_language": language.query,
     "op6_neardup": neardup.query,
@@ -14,5 +15,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_repeats": repeats.oracle(),
     "op9_fingerprints": fingerprints.oracle(),
 }
