@@ -15,7 +15,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm._text import LOOSE, buffers, mix, ragged, slices, table, words
@@ -212,6 +213,17 @@ def _scan(batches: Iterator[pa.RecordBatch], bench: Benchmark, least: float) ->
             yield pa.RecordBatch.from_arrays(columns, names)
 
 
+def _indexes(benchmark: DataFrame, shard: int) -> Iterator[Benchmark]:
+    """Indexes of shard items or so each, read one after the other."""
+    passes = max(1, -(-benchmark.count() // shard))
+    for p in range(passes):
+        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).select("item_id", "text")
+        rows = part.toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
+        bench = index(rows["item_id"].to_pylist(), rows["text"].combine_chunks()) if len(rows) else None
+        if bench is not None:
+            yield bench
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, text: str = "text", key: str = "doc_id", shard: int = SHARD) -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_words): the best window for each document and item it holds.
 
@@ -227,13 +239,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARIT
     kind = source.schema["doc_id"].dataType.simpleString()
     id_kind = benchmark.schema["item_id"].dataType.simpleString()
     spark = docs.sparkSession
-    passes = max(1, -(-benchmark.count() // shard))
     out = None
-    for p in range(passes):
-        rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).select("item_id", "text").toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
-        bench = index(rows["item_id"].to_pylist(), rows["text"].combine_chunks()) if len(rows) else None
-        if bench is None:
-            continue
+    for bench in _indexes(benchmark, shard):
         sent = spark.sparkContext.broadcast(bench)
         hits = source.mapInArrow(lambda x, sent=sent: _scan(x, sent.value, least), f"doc_id {kind}, item int, similarity double, start_word int, n_words int")
         numbers = spark.createDataFrame([(i, v) for i, v in enumerate(bench.ids)], f"item int, item_id {id_kind}")
@@ -242,29 +249,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARIT
     return out if out is not None else spark.createDataFrame([], f"doc_id {kind}, item_id {id_kind}, similarity double, start_word int, n_words int")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, text: str = "text") -> DataFrame:
+def clean(text: Column, sent: Broadcast, least: float = SIMILARITY) -> Column:
+    """Whether a text holds none of the items of a broadcast index; true for null."""
+
+    @F.arrow_udf("boolean")
+    def run(texts: pa.Array) -> pa.Array:
+        data, offsets = buffers(texts)
+        out = np.ones(len(texts), bool)
+        for a, b in slices(offsets):
+            w = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], LOOSE)
+            start = _hits(w.hash, w.row, sent.value, least)[0]
+            out[np.searchsorted(w.row, start, "right") - 1 + a] = False
+        return pa.array(out)
+
+    return run.asNondeterministic()(text)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, text: str = "text", shard: int = SHARD) -> DataFrame:
     """The rows of docs that hold no item of the benchmark; see contaminated. Null texts stay."""
-    spark = docs.sparkSession
-    tables = []
-    passes = max(1, -(-benchmark.count() // SHARD))
-    for p in range(passes):
-        rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).select("item_id", "text").toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
-        bench = index(rows["item_id"].to_pylist(), rows["text"].combine_chunks()) if len(rows) else None
-        if bench is not None:
-            tables.append(spark.sparkContext.broadcast(bench))
-    for sent in tables:
-
-        @F.arrow_udf("boolean")
-        def clean(texts: pa.Array, sent=sent) -> pa.Array:
-            data, offsets = buffers(texts)
-            out = np.ones(len(texts), bool)
-            for a, b in slices(offsets):
-                w = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], LOOSE)
-                start = _hits(w.hash, w.row, sent.value, least)[0]
-                out[np.searchsorted(w.row, start, "right") - 1 + a] = False
-            return pa.array(out)
-
-        docs = docs.where(clean.asNondeterministic()(F.col(text)))
+    for bench in _indexes(benchmark, shard):
+        docs = docs.where(clean(F.col(text), docs.sparkSession.sparkContext.broadcast(bench), least))
     return docs
 
 
