@@ -2,15 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lexmill.plans.oracles import ORACLE_SQL
+from lexmill.plans.reference_queries import QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = QUERIES["boosted_topk"]
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
