@@ -29,7 +29,7 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(contents & (i == 0), "TABLE OF CONTENTS")
         .when(contents & i.isin(1, 2, 3), lead("Chapter ", i.cast("string"), ". ", F.substring(line, 1, 12), " ........ ", (i * 7).cast("string")))
         .when(m == 0, lead("Chapter ", k, ". ", line))
-        .when(m == 1, lead(F.substring(line, 1, 10), " ", F.substr(line, F.lit(11)), " • item; next"))
+        .when(m == 1, lead(F.substring(line, 1, 10), "\u00a0", F.substr(line, F.lit(11)), " • item; next"))
         .when(m == 2, lead("Sub-chapter ", k, ".1 ", line))
         .when(m == 3, lead("Section ", k, ".2.1 Scope ", bare, ":"))
         .when(m == 4, lead(line, " The firm shall comply, see Article 5 of the 2004 Law. Circular CSSF 18/698"))
