@@ -37,14 +37,13 @@ def _counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     base = (np.repeat(np.arange(rows), size) * WIDTH).astype(np.int64)
     left = np.repeat(offsets[1:], size) - np.arange(len(body))
     code = body.astype(np.uint32)
-    out, gram = np.zeros(rows * WIDTH), code.copy()
+    out, gram, blank = np.zeros(rows * WIDTH), code.copy(), body == 32
     for n in range(1, LONGEST + 1):
         if n > 1:
             gram = gram[:-1] * np.uint32(257) + code[n - 1 :] if len(gram) > 1 else gram[:0]
+            blank = blank[:-1] & (body[n - 1 :] == 32) if len(blank) > 1 else blank[:0]
         at = ((gram * np.uint32(0x9E3779B1) + np.uint32(n)) >> np.uint32(32 - 12)).astype(np.int64)
-        fits = left[: len(at)] >= n
-        if n == 1:
-            fits = fits & (body != 32)
+        fits = (left[: len(at)] >= n) & ~blank
         out += np.bincount(base[: len(at)][fits] + at[fits], minlength=rows * WIDTH)
     return out.reshape(rows, WIDTH)
 
@@ -80,8 +79,9 @@ class LanguageModel:
         for a, b, counts in _blocks(texts):
             near = self.vectors(counts) @ self.centroids.T
             by = np.stack([near[:, member[:, j]].max(1) for j in range(k)], 1)
-            lang[a:b] = by.argmax(1)
-            cosine[a:b] = by.max(1)
+            lang[a:b] = np.round(by, 9).argmax(1)
+            # Matrix products differ in the last bits with the rows beside a row.
+            cosine[a:b] = np.round(by.max(1), 9)
             some[a:b] = counts.any(1)
         return lang, cosine, some
 

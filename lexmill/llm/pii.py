@@ -34,7 +34,8 @@ _EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]++@[\w-]++(?:\.[\w-]++)+")
 _IP = re.compile(r"(?<![\d.])\d{1,4}(?:\.\d{1,4}){3}(?![\d]|\.\d)")
 _RUN = re.compile(r"[+(]{0,2}\d(?:[\d ().+-]*\d)?")
 _GROUP = re.compile(r"\d+")
-_SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}+")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+={0,2}")
+_ASSIGNED = re.compile(r"[=:] ?[\"']?$")
 _CLUES = {
     "secret": re.compile(r"token|secret|passw|pwd|api.?key|key|credential|bearer|auth", re.I),
     "hash": re.compile(r"commit|sha\d*|md5|checksum|digest|hash|revision|uuid|etag", re.I),
@@ -70,7 +71,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
                     if digits >= 9:
                         out.append((begin, groups[j][1], "account"))
     for m in _SECRET.finditer(text):
-        if any(c.isdigit() for c in m.group()):
+        if any(c.isdigit() for c in m.group()) or _ASSIGNED.search(text, max(0, m.start() - 4), m.start()):
             out.append((*m.span(), "secret"))
     return out
 
@@ -132,6 +133,8 @@ def examples(count: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]
     def secret() -> tuple[str, str]:
         name = r.choice(["token", "api_key", "apikey", "secret", "password", "auth_token", "access_key", "key", "bearer"])
         value = r.choice([hexa(40), hexa(32), mixed(r.randint(20, 44)), "sk-" + mixed(32), "AKIA" + mixed(16).upper(), hexa(64)])
+        if not any(c.isdigit() for c in value):
+            return name + r.choice([" = ", "=", ": ", ":"]) + r.choice(['"', "'", ""]), value
         return name + r.choice([" = ", "=", ": ", ":", " = ", " "]) + r.choice(['"', "'", "", '"']), value
 
     def plain() -> str:
@@ -236,13 +239,13 @@ def mask(text: str, spans: list[tuple[int, int, str, float]]) -> str:
 
 
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("score", pa.float64())])
-_DIGIT_OR_AT = np.isin(np.arange(256), [*range(48, 58), 64])
+_TELLING = np.isin(np.arange(256), list(b"0123456789@=:"))
 
 
 def _redacted(texts: pa.Array, model: PiiModel) -> pa.Array:
     data, offsets = buffers(texts)
-    hits = np.concatenate([[0], np.flatnonzero(_DIGIT_OR_AT[data])]) if len(data) else np.zeros(1, np.int64)
-    # Every generator needs a digit or an @: texts without have no candidates.
+    hits = np.concatenate([[0], np.flatnonzero(_TELLING[data])]) if len(data) else np.zeros(1, np.int64)
+    # Every generator needs a digit, an @ or an assignment: texts without have no candidates.
     at = np.searchsorted(hits[1:], offsets)
     rows = np.flatnonzero(np.diff(at))
     spans, x, owners = [], [], []

@@ -20,6 +20,7 @@ SEEDS = (
     "porn xxx sex adult escort escorts spam ads adserver banner popup tracker clickbait malware warez torrent "
     "crack keygen loan loans payday replica scam phishing"
 ).split()
+PLAIN = tuple("best blog cheap farm free mail news online shop site track web win".split())
 #: Words that Viterbi knows, and words of the classifier: those seen most, words seen fewer times than LEAST left out.
 VOCABULARY, LEAST, LONGEST = 50_000, 2, 20
 _URL = re.compile(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(?::\d*)?([^?#]*)(?:\?([^#]*))?")
@@ -92,17 +93,21 @@ class UrlModel:
 
 
 def word_counts(pages: DataFrame, limit: int = VOCABULARY) -> dict[str, int]:
-    """Counts of the words of all pages' visible text and URLs, the limit most frequent kept."""
+    """Counts of the words of all pages' visible text and paths, the limit most frequent kept.
+
+    Seeds and a few plain words of hosts are added, so that they are words even where no page has them.
+    """
     visible = F.regexp_replace("html", r"(?s)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>|&\w+;", " ")
-    url = F.regexp_replace("url", r"^[A-Za-z]*://|[?#].*$", " ")
-    # Seeds count once each, so that they are words even where nobody writes them apart.
-    words = pages.select(F.explode(F.split(F.lower(F.concat_ws(" ", visible, url)), r"[^\p{L}]+")).alias("word"))
+    # A host's own name isn't evidence that it is one word.
+    path = F.regexp_replace("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*|[?#].*$", " ")
+    words = pages.select(F.explode(F.split(F.lower(F.concat_ws(" ", visible, path)), r"[^\p{L}]+")).alias("word"))
     size = F.char_length("word")
     counted = words.where((size > 1) & (size <= LONGEST)).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
     rows = counted.orderBy(F.desc("n"), "word").limit(limit).toArrow()
     out = {w: n for w, n in zip(rows["word"].to_pylist(), rows["n"].to_pylist(), strict=True) if w not in _COMMON}
-    for w in (*SEEDS, "cheap", "free", "win", "farm", "track", "online", "best", "blog", "news", "shop", "mail", "web", "site"):
-        out[w] = out.get(w, 0) + max(LEAST, sum(out.values()) // 100_000)
+    usual = max(LEAST, sum(out.values()) // 100_000)
+    for w in (*SEEDS, *PLAIN):
+        out[w] = out.get(w, 0) + usual
     return out
 
 
