@@ -36,8 +36,7 @@ def compare(spark, sf_dir, run, sql):
     con = duckdb.connect()
     for name in sorted(os.listdir(sf_dir)):
         con.execute(f"CREATE VIEW {name.split('.')[0]} AS SELECT * FROM read_parquet('{sf_dir}/{name}')")
-    left, right = run(spark, sf_dir).toArrow(), con.execute(sql).arrow()
-    right = right.read_all() if hasattr(right, "read_all") else right
+    left, right = run(spark, sf_dir).toArrow(), con.sql(sql).to_arrow_table()
 
     def rows(t):
         names = sorted(t.column_names)
