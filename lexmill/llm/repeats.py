@@ -26,6 +26,8 @@ from lexmill.llm._text import EXACT, buffers, prefix, ragged, slices, sliding_mi
 LENGTH, GROUP = 50, 8
 #: Words whose transform is built at once, unless one anchor has more.
 BLOCK = 1 << 19
+#: Kinds of segments that one anchor may have for them to be transformed together; passages of others are counted one by one.
+KINDS = 50_000
 
 
 def _segments(hashes: np.ndarray, edges: np.ndarray, length: int, group: int) -> tuple[np.ndarray, ...]:
@@ -232,7 +234,20 @@ def _expand(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         yield solve(held)
 
 
-def repeated_passages(docs: DataFrame, length: int = LENGTH, group: int = GROUP, text: str = "text", key: str = "doc_id") -> DataFrame:
+def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Every passage of fetched segments, with a hash of its words."""
+    for batch in batches:
+        body = batch.column("body")
+        flat, sizes = np.asarray(body.flatten()).view(np.uint64), np.asarray(body.value_lengths()).astype(np.int64)
+        count = sizes - length + 1
+        at = np.repeat(np.cumsum(sizes) - sizes, count) + ragged(count)
+        hashes = span_hash(prefix(flat), at, at + length)
+        row = pa.array(np.repeat(np.arange(batch.num_rows), count))
+        kept = [batch.column(k).take(row) for k in ("anchor", "content", "doc_id", "first", "copies")]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(ragged(count).astype(np.int32)), pa.array(hashes.view(np.int64))], ["anchor", "content", "doc_id", "first", "copies", "a", "passage"])
+
+
+def repeated_passages(docs: DataFrame, length: int = LENGTH, group: int = GROUP, text: str = "text", key: str = "doc_id", kinds: int = KINDS) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, is_first): runs of words that passages of length words cover which occur more than once.
 
     Words stand between ASCII white space, and compare exactly. Passages of one document
@@ -241,23 +256,38 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, group: int = GROUP,
     deduplication would cut. Whole texts are read. A null doc_id, a null text and a text
     of fewer than length words have no rows. A row that repeats repeats its passages; runs
     of rows with one doc_id are merged. Other columns of docs aren't read. doc_id must be
-    an integer.
+    an integer. An anchor with more than kinds kinds of segments, as the end of a
+    passage has that stands in very many documents, would fill one task: its passages are
+    counted one by one instead, spread by their hashes.
     """
     source = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
     segments = source.mapInArrow(lambda x: _cut(x, length, group), "anchor bigint, content bigint, doc_id bigint, first int, passages int")
     by = Window.partitionBy("anchor")
-    kinds = Window.partitionBy("anchor", "content").orderBy("doc_id", "first")
-    whole = kinds.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    found = segments.withColumns({"nth": F.row_number().over(kinds), "copies": F.count("*").over(whole)})
-    found = found.withColumns({"n": F.count("*").over(by), "mixed": F.min("content").over(by) != F.max("content").over(by)})
+    equal = Window.partitionBy("anchor", "content").orderBy("doc_id", "first")
+    whole = equal.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    found = segments.withColumns({"nth": F.row_number().over(equal), "copies": F.count("*").over(whole)})
+    found = found.withColumns({"n": F.count("*").over(by), "kinds": F.sum((F.col("nth") == 1).cast("int")).over(by)})
     found = stash(found.where("n > 1").drop("n"), "segments")
-    wanted = found.where("mixed AND nth = 1").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "content", "doc_id", "first", "passages", F.col("copies").cast("int").alias("copies"))).alias("wanted"))
-    fetched = source.join(wanted, "doc_id").select("text", "wanted").mapInArrow(lambda x: _fetch(x, length), "anchor bigint, content bigint, doc_id bigint, first int, copies int, body array<bigint>")
-    sorted_ = fetched.repartition("anchor").sortWithinPartitions("anchor")
+
+    def fetched(which: str) -> DataFrame:
+        """The words of one segment of each kind, from the document that has it first."""
+        segment = F.struct("anchor", "content", "doc_id", "first", "passages", F.col("copies").cast("int").alias("copies"))
+        wanted = found.where(f"nth = 1 AND {which}").groupBy("doc_id").agg(F.collect_list(segment).alias("wanted"))
+        return source.join(wanted, "doc_id").select("text", "wanted").mapInArrow(lambda x: _fetch(x, length), "anchor bigint, content bigint, doc_id bigint, first int, copies int, body array<bigint>")
+
+    sorted_ = fetched(f"kinds BETWEEN 2 AND {kinds}").repartition("anchor").sortWithinPartitions("anchor")
     runs = sorted_.mapInArrow(lambda x: _expand(x, length), "anchor bigint, content bigint, a int, b int, lead boolean")
-    mixed = found.where("mixed").join(runs, ["anchor", "content"]).select("doc_id", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"), (F.col("lead") & (F.col("nth") == 1)).alias("is_first"))
-    equal = found.where("NOT mixed").select("doc_id", F.col("first").alias("a"), (F.col("first") + F.col("passages")).alias("b"), (F.col("nth") == 1).alias("is_first"))
-    spans = mixed.unionByName(equal)
+    crowded = f"kinds > {max(kinds, 1)}"
+    if not found.where(crowded).isEmpty():
+        each = fetched(crowded).mapInArrow(lambda x: _windows(x, length), "anchor bigint, content bigint, doc_id bigint, first int, copies int, a int, passage bigint")
+        # Repeated doc_ids can fetch one segment twice.
+        each = each.dropDuplicates(["anchor", "content", "a"])
+        same = Window.partitionBy("anchor", "passage")
+        each = each.withColumns({"total": F.sum("copies").over(same), "nth": F.row_number().over(same.orderBy("doc_id", F.col("first") + F.col("a")))}).where("total > 1")
+        runs = runs.unionByName(each.select("anchor", "content", "a", (F.col("a") + 1).alias("b"), (F.col("nth") == 1).alias("lead")))
+    mixed = found.where("kinds > 1").join(runs, ["anchor", "content"]).select("doc_id", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"), (F.col("lead") & (F.col("nth") == 1)).alias("is_first"))
+    alike = found.where("kinds = 1").select("doc_id", F.col("first").alias("a"), (F.col("first") + F.col("passages")).alias("b"), (F.col("nth") == 1).alias("is_first"))
+    spans = mixed.unionByName(alike)
     order = Window.partitionBy("doc_id", "is_first").orderBy("a", "b")
     before = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("a") <= F.col("before"), 0).otherwise(1)).over(order)

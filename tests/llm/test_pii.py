@@ -1,0 +1,68 @@
+import pytest
+
+from lexmill.llm import pii
+
+
+@pytest.fixture(scope="module")
+def model():
+    return pii.train()
+
+
+CASES = [
+    ("write to an.b+c@mail7.example.com now", "write to [EMAIL] now"),
+    ("host 197.237.160.135 fails", "host [IP] fails"),
+    ("ring +1 (851) 555-9673 or wait", "ring [PHONE] or wait"),
+    ("my card 4844 1681 1440 7329 ends", "my card [ACCOUNT] ends"),
+    ("paid with 7536784127813050 at once", "paid with [ACCOUNT] at once"),
+    ('token = "c7c44ab5d48cb8ca99c1afc0912391d7d2165884" here', 'token = "[SECRET]" here'),
+]
+
+
+@pytest.mark.parametrize("text, wanted", CASES)
+def test_redacts(model, text, wanted):
+    import pyarrow as pa
+
+    assert pii._redacted(pa.array([text]), model).field("text")[0].as_py() == wanted
+
+
+@pytest.mark.parametrize("text", ["version 2.0.1 of 2024-11-03", "page 12, section 4.2.1.3", "Licensed under the Apache License, Version 2.0.", "commit 3f786850e387550fdab836ed7e6dc881de23001b", "a 50 % rise to 1,200,500", "nothing at all"])
+def test_leaves_alone(model, text):
+    import pyarrow as pa
+
+    out = pii._redacted(pa.array([text]), model)
+    assert out.field("text")[0].as_py() == text and out.field("spans")[0].as_py() == []
+
+
+def test_held_out_accuracy(model):
+    true = found = both = 0
+    for text, spans in pii.examples(300, 12345):
+        c = pii.candidates(text)
+        assert {s[:2] for s in spans} <= {x[:2] for x in c}, "a generator missed a span"
+        import numpy as np
+
+        chosen = pii.select(c, model.forest.score(np.array([pii.describe(text, *x) for x in c], float)), model) if c else []
+        covered = lambda a, b: any(x <= a and b <= y for x, y, *_ in chosen)
+        true += len(spans)
+        both += sum(covered(a, b) for a, b, _ in spans)
+        found += sum(not any(a < y and x < b for x, y, _ in spans) for a, b, *_ in chosen)
+    assert both / true > 0.97
+    assert found / true < 0.05
+
+
+def test_selection_is_greedy_by_score(model):
+    spans = [(0, 10, "phone"), (5, 20, "account"), (20, 30, "ip"), (0, 30, "secret")]
+    assert [s[:3] for s in pii.select(spans, [0.8, 0.9, 0.7, 0.85], model)] == [(5, 20, "account"), (20, 30, "ip")]
+    assert [s[:3] for s in pii.select([(0, 4, "ip"), (0, 6, "ip")], [0.9, 0.9], model)] == [(0, 6, "ip")]
+
+
+def test_odd(spark, docs, odd, none):
+    rows = pii.redact(odd).collect()
+    assert all(r["pii_spans"] == "x" for r in rows)
+    for before, after in zip(odd.collect(), rows, strict=True):
+        assert after.text == before.text
+        assert after["pii_spans_"] == (None if before.text is None else [])
+    assert pii.redact(none).count() == 0
+    long = "x " * 100_000 + "an.b@mail.example.com" + " 1" * 20_000
+    out = pii.redact(docs([(1, long), (1, long)])).collect()
+    assert [r.text for r in out] == [long.replace("an.b@mail.example.com", "[EMAIL]")] * 2
+    assert out[0]["pii_spans_"][0].start == 200_000
