@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import heapq
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -189,25 +190,28 @@ class Bpe:
         self.starts[base : base + len(new)], self.lengths[base : base + len(new)] = starts, lengths
         self.filled = total
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the texts end to end, and how many each has."""
+    def words(self, texts: list[str]) -> tuple[list[list[str]], list[np.ndarray]]:
+        """The words of each text, and their numbers; what is new among them is encoded all at once."""
         if len(self.known) > REMEMBERED:
             self._forget()
-        base = len(self.known)
-        known = self.known
-        number = known.__getitem__
-        counts, index = np.zeros(len(texts), np.int64), []
-        for t, text in enumerate(texts):
+        base, number = len(self.known), self.known.__getitem__
+        found, numbers = [], []
+        for text in texts:
             pieces = self.split(text)
-            counts[t] = len(pieces)
-            index.append(np.fromiter(map(number, pieces), np.int64, len(pieces)))
-        if len(known) > base:
-            self._learn(list(known)[base:], base)
-        at = np.concatenate(index) if index else np.zeros(0, np.int64)
+            found.append(pieces)
+            numbers.append(np.fromiter(map(number, pieces), np.int64, len(pieces)))
+        if len(self.known) > base:
+            self._learn(list(islice(self.known, base, None)), base)
+        return found, numbers
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts end to end, and how many each has."""
+        _, numbers = self.words(texts)
+        at = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
         sizes = self.lengths[at]
         ids = self.ids[np.repeat(self.starts[at], sizes) + ragged(sizes)]
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        edge = np.concatenate([[0], np.cumsum(counts)])
+        edge = np.concatenate([[0], np.cumsum([len(x) for x in numbers])]).astype(np.int64)
         return ids, np.diff(ends[edge])
 
     def decode_bytes(self, ids: np.ndarray) -> np.ndarray:

@@ -19,25 +19,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm._text import list_array, table
-from lexmill.llm.bpe import REMEMBERED, VOCABULARY, Bpe, vocabulary
+from lexmill.llm.bpe import VOCABULARY, Bpe, vocabulary
 
 #: Characters of a chunk and of its overlap with the next.
 CHUNK, OVERLAP = 1 << 15, 256
 #: Characters at the end of a cut chunk whose boundaries aren't proven: the pattern looks this far ahead at most.
 UNPROVEN = 4
-
-
-def pieces(bpe: Bpe, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Where the words of a text begin, and how many tokens each has."""
-    if len(bpe.known) > REMEMBERED:
-        bpe._forget()
-    base = len(bpe.known)
-    found = bpe.split(text)
-    at = np.fromiter(map(bpe.known.__getitem__, found), np.int64, len(found))
-    if len(bpe.known) > base:
-        bpe._learn(list(bpe.known)[base:], base)
-    size = np.fromiter(map(len, found), np.int64, len(found))
-    return np.cumsum(size) - size, bpe.lengths[at]
+#: Characters of texts whose new words are encoded together.
+TOGETHER = 1 << 20
+
+
+def pieces(bpe: Bpe, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Where the words of each text begin, and how many tokens each word has."""
+    found, numbers = bpe.words(texts)
+    size = [np.fromiter(map(len, words), np.int64, len(words)) for words in found]
+    return [(np.cumsum(n) - n, bpe.lengths[at]) for n, at in zip(size, numbers, strict=True)]
+
+
+def counts_of(bpe: Bpe, texts: list[str | None]) -> list[int | None]:
+    """Tokens of each text; null for null. Texts are encoded some TOGETHER characters at a time."""
+    out: list[int | None] = [None] * len(texts)
+    held, size = [], 0
+    for i, t in enumerate([*texts, None]):
+        if t is not None:
+            held.append(i)
+            size += len(t)
+        if held and (size >= TOGETHER or i == len(texts)):
+            for k, at in zip(held, bpe.words([texts[k] for k in held])[1], strict=True):
+                out[k] = int(bpe.lengths[at].sum())
+            held, size = [], 0
+    return out
 
 
 def splice(bpe: Bpe, text: str, chunks: list[tuple[int, int, np.ndarray, np.ndarray]], overlap: int = OVERLAP) -> tuple[int, int]:
@@ -58,7 +69,7 @@ def splice(bpe: Bpe, text: str, chunks: list[tuple[int, int, np.ndarray, np.ndar
         widened += 1
         reach *= 2
         end = min(len(text), begin + reach)
-        starts, counts = pieces(bpe, text[true:end])
+        starts, counts = pieces(bpe, [text[true:end]])[0]
         starts = starts + true
         while k + 1 < len(chunks) - 1 and chunks[k + 1][1] <= end:
             k += 1
@@ -76,10 +87,8 @@ def cuts(length: int, chunk: int, overlap: int) -> list[tuple[int, int]]:
 
 def count_chunked(bpe: Bpe, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[int, int]:
     """Tokens of one text by way of chunks; see splice."""
-    parts = []
-    for a, b in cuts(len(text), chunk, overlap):
-        starts, counts = pieces(bpe, text[a:b])
-        parts.append((a, b, starts + a, counts))
+    at = cuts(len(text), chunk, overlap)
+    parts = [(a, b, starts + a, counts) for (a, b), (starts, counts) in zip(at, pieces(bpe, [text[a:b] for a, b in at]), strict=True)]
     return splice(bpe, text, parts, overlap)
 
 
@@ -96,8 +105,7 @@ def token_counts(docs: DataFrame, path: str = VOCABULARY, chunk: int = CHUNK, ov
 
     @F.arrow_udf("int")
     def whole(texts: pa.Array) -> pa.Array:
-        bpe = vocabulary(path)
-        return pa.array([None if t is None else int(pieces(bpe, t)[1].sum()) for t in texts.to_pylist()], pa.int32())
+        return pa.array(counts_of(vocabulary(path), texts.to_pylist()), pa.int32())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "row", "begin", "body"]
@@ -111,7 +119,7 @@ def token_counts(docs: DataFrame, path: str = VOCABULARY, chunk: int = CHUNK, ov
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
         for batch in batches:
-            found = [pieces(bpe, t) for t in batch.column("body").to_pylist()]
+            found = pieces(bpe, batch.column("body").to_pylist())
             n = np.array([len(s) for s, _ in found])
             lists = [list_array(pa.array(np.concatenate([f[j] for f in found]).astype(np.int32)), n) for j in (0, 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *lists], [*batch.schema.names, "starts", "counts"])
