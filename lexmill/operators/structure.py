@@ -60,9 +60,10 @@ def carry_headings(blocks: DataFrame, most_specific_first: bool = False) -> Data
 def contents_table(blocks: DataFrame) -> DataFrame:
     """(doc_id, toc_idx, page, level, header, title) of the entries after the block that announces them."""
     named = F.lower("text").contains("table of contents")
-    begun = F.min(F.when(named, F.col("block_idx"))).over(Window.partitionBy("doc_id"))
-    rows = blocks.withColumns({"begun": begun, "named": named}).where((F.col("block_idx") > F.col("begun")) & ~F.col("named"))
-    rows = rows.select("doc_id", "block_idx", X.contents_entry(F.col("text")).alias("entry")).where("entry IS NOT NULL")
+    # Only announcements and lines that look like entries are shuffled, without their texts.
+    rows = blocks.select("doc_id", "block_idx", named.alias("named"), X.contents_entry(F.col("text")).alias("entry")).where("named OR entry IS NOT NULL")
+    begun = F.min(F.when(F.col("named"), F.col("block_idx"))).over(Window.partitionBy("doc_id"))
+    rows = rows.withColumn("begun", begun).where("block_idx > begun AND NOT named")
     return rows.select("doc_id", (F.row_number().over(in_order()) - 1).alias("toc_idx"), "entry.*")
 
 
