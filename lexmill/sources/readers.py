@@ -10,6 +10,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 ENGINES = ("pymupdf", "unstructured", "pdfminer", "azure_document_intelligence")
 SMALL, LARGE = 1_000_000, 10_000_000
@@ -160,8 +161,6 @@ def blocks_from_pages(docs: DataFrame, key: str = "path") -> DataFrame:
     """(doc_id, block_idx, page, bbox, height, text): a block for each paragraph of page_texts, without a place on the page."""
     rows = docs.select(F.col(key).alias("doc_id"), F.posexplode("page_texts").alias("page", "body"))
     rows = rows.select("doc_id", (F.col("page") + 1).alias("page"), F.posexplode(F.split("body", "\n\n")).alias("n", "text")).where("trim(text) <> ''")
-    from pyspark.sql.window import Window
-
     order = Window.partitionBy("doc_id").orderBy("page", "n")
     return rows.select("doc_id", (F.row_number().over(order) - 1).alias("block_idx"), "page", F.array(*(F.lit(x) for x in (0.0, 100.0, 0.0, 100.0))).alias("bbox"), F.lit(PAGE_SIZE[1]).alias("height"), "text")
 
@@ -171,3 +170,27 @@ def polygon_bbox(polygon: Column) -> Column:
     x, y = F.transform(polygon, lambda p: p["x"].cast("double")), F.transform(polygon, lambda p: p["y"].cast("double"))
     box = F.array(F.array_min(x), F.array_min(y), F.array_max(x), F.array_max(y))
     return F.when(F.coalesce(F.size(polygon), F.lit(0)) > 0, box).otherwise(F.array(*(F.lit(0.0),) * 4))
+
+
+def ocr_blocks(lines: DataFrame) -> DataFrame:
+    """Blocks from recognised lines (doc_id, page, line_idx, text, polygon, height): a block each, numbered through the document."""
+    order = Window.partitionBy("doc_id").orderBy("page", "line_idx")
+    height = F.coalesce(F.first("height", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(PAGE_SIZE[1]))
+    return lines.select("doc_id", (F.row_number().over(order) - 1).alias("block_idx"), "page", polygon_bbox(F.col("polygon")).alias("bbox"), height.alias("height"), "text")
+
+
+def ocr_documents(lines: DataFrame) -> DataFrame:
+    """(doc_id, text, page_texts, confidence_scores) from recognised lines (doc_id, page, line_idx, text, confidence)."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_idx", "text"))), lambda s: s["text"])
+    pages = lines.groupBy("doc_id", "page").agg(F.concat_ws("\n", ordered).alias("text"), F.avg("confidence").alias("confidence"))
+    sorted_ = F.array_sort(F.collect_list(F.struct("page", "text", "confidence")))
+    rows = pages.groupBy("doc_id").agg(sorted_.alias("p"))
+    texts = F.transform("p", lambda s: s["text"])
+    return rows.select("doc_id", F.concat_ws("\n", texts).alias("text"), texts.alias("page_texts"), F.transform("p", lambda s: s["confidence"]).alias("confidence_scores"))
+
+
+def ocr_tables(cells: DataFrame) -> DataFrame:
+    """(doc_id, tables) from recognised cells (doc_id, table_idx, row, column, content)."""
+    order = F.array_sort(F.collect_list(F.struct("row", "column", "content")))
+    tables = cells.groupBy("doc_id", "table_idx").agg(order.alias("cells"))
+    return tables.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("table_idx", "cells"))), lambda t: t["cells"]).alias("tables"))

@@ -37,7 +37,7 @@ def embed_cached(chunks: DataFrame, embed: Callable[[DataFrame, str], DataFrame]
     return spark.read.parquet(path)
 
 
-INDEX_SCHEMA = "id string, content string, headers string, page int, block_id int, embedding array<float>"
+INDEX_SCHEMA = "id string, content string, headers string, page int, block_id bigint, embedding array<float>"
 
 
 def ensure_index(spark: SparkSession, name: str) -> None:
@@ -48,7 +48,7 @@ def add_to_index(chunks: DataFrame, name: str) -> None:
     """Append chunks under keys that depend on their content alone."""
     ensure_index(chunks.sparkSession, name)
     key = F.sha2(F.concat_ws("|", F.col("id").cast("string"), "content"), 256)
-    chunks.select(key.alias("id"), "content", "headers", F.col("page").cast("int"), F.col("id").cast("int").alias("block_id"), F.col("embedding").cast("array<float>")).write.insertInto(name)
+    chunks.select(key.alias("id"), "content", "headers", F.col("page").cast("int"), F.col("id").cast("bigint").alias("block_id"), F.col("embedding").cast("array<float>")).write.insertInto(name)
 
 
 def index_statistics(index: DataFrame) -> DataFrame:
