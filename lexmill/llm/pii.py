@@ -36,6 +36,7 @@ _RUN = re.compile(r"[+(]{0,2}\d(?:[\d ().+-]*\d)?")
 _GROUP = re.compile(r"\d+")
 _SECRET = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+={0,2}")
 _ASSIGNED = re.compile(r"[=:] ?[\"']?$")
+_NO_DIGIT, _NO_HEX = re.compile(r"[^0-9]+"), re.compile(r"[^0-9a-fA-F]+")
 _CLUES = {
     "secret": re.compile(r"token|secret|passw|pwd|api.?key|key|credential|bearer|auth", re.I),
     "hash": re.compile(r"commit|sha\d*|md5|checksum|digest|hash|revision|uuid|etag", re.I),
@@ -87,7 +88,7 @@ def _luhn(digits: str) -> bool:
 def describe(text: str, start: int, end: int, kind: str) -> list[float]:
     """Format and context features of a span."""
     s = text[start:end]
-    digits = "".join(c for c in s if c.isdecimal() and c.isascii())
+    digits = _NO_DIGIT.sub("", s)
     n = len(s)
     letters = sum(c.isalpha() for c in s)
     counts = Counter(s)
@@ -99,7 +100,7 @@ def describe(text: str, start: int, end: int, kind: str) -> list[float]:
     return [
         *(float(kind == k) for k in KINDS),
         n, len(digits), letters, len(digits) / n, letters / n, sum(c.isupper() for c in s) / n,
-        sum(c in "0123456789abcdefABCDEF" for c in s) / n,
+        len(_NO_HEX.sub("", s)) / n,
         -sum(c / n * math.log2(c / n) for c in counts.values()),
         len(groups), max(groups, default=0), min(groups, default=0), float(len(digits) > 11 and _luhn(digits)),
         float(s.startswith("+")), float("(" in s), s.count(" "), s.count("-"), s.count("."), s.count("@"),
