@@ -30,10 +30,15 @@ def slide(blocks: DataFrame, least: int = 100, most: int = 500, overlap: float =
     step = most - int(most * overlap)
     body = strip(F.col("text"))
     size = F.length(body)
-    count = F.ceil((size - most) / step).cast("int") + 1
-    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda k: strip(F.substring(body, k * step + 1, F.lit(most))))
+
+    def cut(b: Column) -> Column:
+        count = F.ceil((F.length(b) - most) / step).cast("int") + 1
+        windows = F.transform(F.sequence(F.lit(0), count - 1), lambda k: strip(F.substring(b, k * step + 1, F.lit(most))))
+        return F.when(F.length(b) <= most, F.array("text")).otherwise(F.filter(windows, lambda c: c != ""))
+
     rows = blocks.where((size >= least) & (size > 0))
-    pieces = F.when(size <= most, F.array("text")).otherwise(F.filter(cut, lambda c: c != ""))
+    # The stripped text is bound to a variable, lest every window strip it anew.
+    pieces = F.transform(F.array(body), cut)[0]
     rows = rows.select("*", (size > most).alias("split"), F.posexplode(pieces).alias("k", "piece"))
     return rows.withColumns({"text": F.col("piece"), "chunk_id": F.when(F.col("split"), F.col("k"))}).drop("split", "k", "piece")
 
