@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm._text import fresh, table
+from lexmill.llm._text import fresh, stash, table
 
 #: Words that mark a page as an example of an unwanted one.
 SEEDS = (
@@ -21,8 +21,8 @@ SEEDS = (
     "crack keygen loan loans payday replica scam phishing"
 ).split()
 PLAIN = tuple("best blog cheap farm free mail news online shop site track web win".split())
-#: Words that Viterbi knows, and words of the classifier: those seen most, words seen fewer times than LEAST left out.
-VOCABULARY, LEAST, LONGEST = 50_000, 2, 20
+#: Times that Viterbi must have seen a word, and letters that a word has at most.
+LEAST, LONGEST = 2, 20
 _URL = re.compile(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(?::\d*)?([^?#]*)(?:\?([^#]*))?")
 _TOKEN = re.compile(r"[^\W\d_]+")
 _COMMON = frozenset(("www", "m", "com", "net", "org", "info", "biz", "html", "htm", "php", "http", "https"))
@@ -37,8 +37,8 @@ def split_url(url: str | None) -> tuple[str, str, str] | None:
 class Segmenter:
     """The likeliest split of a name into words, each word being drawn on its own."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        total = (sum(counts.values()) if total is None else total) + 1
         self.cost = {w: -math.log(n / total) for w, n in counts.items()}
         # A word never seen costs the more the longer it is.
         self.unseen = [math.log(total) + math.log(10) * n for n in range(LONGEST + 1)]
@@ -92,8 +92,27 @@ class UrlModel:
         return self.prior + sum(self.odds.get(f"h:{w}", self.unseen) for w in host) + sum(self.odds.get(f"p:{w}", 0.0) for w in path)
 
 
-def word_counts(pages: DataFrame, limit: int = VOCABULARY) -> dict[str, int]:
-    """Counts of the words of all pages' visible text and paths, the limit most frequent kept.
+def host_pieces(urls: DataFrame) -> DataFrame:
+    """(word): everything that could be a word of the hosts of urls."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hosts = {found[0] for found in map(split_url, batch.column(0).to_pylist()) if found}
+            yield pa.RecordBatch.from_arrays([pa.array({p for h in hosts for p in _TOKEN.findall(h)}, pa.string())], ["part"])
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = {p[a:b] for p in batch.column(0).to_pylist() for a in range(len(p)) for b in range(a + 2, min(a + LONGEST, len(p)) + 1)}
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["word"])
+
+    return urls.select("url").mapInArrow(parts, "part string").distinct().mapInArrow(pieces, "word string").distinct()
+
+
+def word_counts(pages: DataFrame, urls: DataFrame | None = None) -> tuple[dict[str, int], int]:
+    """Counts of all words of all pages' visible text and paths that are seen LEAST times, and their sum.
+
+    With urls, only words that occur in a host of pages or urls are given, as no other
+    can be a part of one; the sum is still that of all.
 
     Seeds and a few plain words of hosts are added, so that they are words even where no page has them.
     """
@@ -103,23 +122,29 @@ def word_counts(pages: DataFrame, limit: int = VOCABULARY) -> dict[str, int]:
     words = pages.select(F.explode(F.split(F.lower(F.concat_ws(" ", visible, path)), r"[^\p{L}]+")).alias("word"))
     size = F.char_length("word")
     counted = words.where((size > 1) & (size <= LONGEST)).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
-    rows = counted.orderBy(F.desc("n"), "word").limit(limit).toArrow()
-    out = {w: n for w, n in zip(rows["word"].to_pylist(), rows["n"].to_pylist(), strict=True) if w not in _COMMON}
-    usual = max(LEAST, sum(out.values()) // 100_000)
+    counted = stash(counted.where(~F.col("word").isin(*_COMMON)), "url_words")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    if urls is not None:
+        counted = counted.join(host_pieces(pages.select("url").union(urls.select("url"))), "word", "left_semi")
+    rows = counted.toArrow()
+    out = dict(zip(rows["word"].to_pylist(), rows["n"].to_pylist(), strict=True))
+    usual = max(LEAST, total // 100_000)
     for w in (*SEEDS, *PLAIN):
         out[w] = out.get(w, 0) + usual
-    return out
+    return out, total + usual * len((*SEEDS, *PLAIN))
 
 
-def train(pages: DataFrame, *, limit: int = VOCABULARY, smoothing: float = 0.5, threshold: float = 0.0) -> UrlModel:
+def train(pages: DataFrame, *, urls: DataFrame | None = None, smoothing: float = 0.5, threshold: float = 0.0) -> UrlModel:
     """Multinomial naive Bayes over the words of all pages' hosts and paths.
 
     A page whose host or path holds a seed word is an example of an unwanted page, any
     other of a wanted one; what is learnt from them then carries over to hosts and paths
-    without a seed word. The limit most frequent words keep odds of their own.
+    without a seed word. Every word counted has odds of its own, so that the model grows
+    with the distinct words of URLs. Where no other URLs than those of pages and urls will
+    be scored, urls spares the model the words that none of their hosts holds.
     """
     spark = pages.sparkSession
-    model = UrlModel(Segmenter(word_counts(pages, limit)), threshold=threshold)
+    model = UrlModel(Segmenter(*word_counts(pages, urls)), threshold=threshold)
     sent = spark.sparkContext.broadcast(model.segmenter.cost)
     seeds = frozenset(SEEDS)
 
@@ -140,18 +165,19 @@ def train(pages: DataFrame, *, limit: int = VOCABULARY, smoothing: float = 0.5,
 
     each = pages.select("url").mapInArrow(count, "word string, bad boolean, n bigint")
     sums = each.groupBy("word").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("good"))
-    # The number of pages, whose word is empty, and sums over all words, also those beyond the limit.
-    totals = sums.where("word <> ''").groupBy(F.substring("word", 1, 1).alias("part")).agg(F.sum("bad"), F.sum("good"), F.count("*")).collect()
-    rows = sums.orderBy(F.col("word") != "", F.desc(F.col("bad") + F.col("good")), "word").limit(limit + 1).toArrow().to_pylist()
-    if not rows:
-        return model
-    part = {p: (b + smoothing * n, g + smoothing * n) for p, b, g, n in totals}
-    for row in rows:
-        if not row["word"]:
-            model.prior = math.log((row["bad"] + 1) / (row["good"] + 1))
+    rows = sums.toArrow()
+    words, bads, goods = (rows[c].to_pylist() for c in ("word", "bad", "good"))
+    part = {"h": [0.0, 0.0], "p": [0.0, 0.0]}
+    for w, bad, good in zip(words, bads, goods, strict=True):
+        if w:
+            part[w[0]][0] += bad + smoothing
+            part[w[0]][1] += good + smoothing
+    for w, bad, good in zip(words, bads, goods, strict=True):
+        if not w:  # the number of pages, whose word is empty
+            model.prior = math.log((bad + 1) / (good + 1))
         else:
-            b, g = part[row["word"][0]]
-            model.odds[row["word"]] = math.log((row["bad"] + smoothing) / b) - math.log((row["good"] + smoothing) / g)
+            b, g = part[w[0]]
+            model.odds[w] = math.log((bad + smoothing) / b) - math.log((good + smoothing) / g)
     return model
 
 
@@ -193,4 +219,4 @@ def filter_urls(pages: DataFrame, model: UrlModel, url: str = "url") -> DataFram
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(table(sf_dir, "pages"))
-    return filter_urls(pages.select("page_id", "url"), train(pages))
+    return filter_urls(pages.select("page_id", "url"), train(pages, urls=pages))

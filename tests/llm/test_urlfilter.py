@@ -59,6 +59,26 @@ def test_learns_and_equals_brute_force(spark):
     assert model.odds["p:winnow"] > 0 > model.odds["p:tools"]
 
 
+def test_rare_words_keep_their_odds(spark):
+    """60,000 common path words leave no word out, be it of hosts or of the dictionary."""
+    names = ["qz" + "".join("bcdfghjklmnprstv"[i >> k & 15] for k in (12, 8, 4, 0)) for i in range(60_000)]
+    good = [(f"http://garden.example.org/{'/'.join(names[i : i + 100] * 2)}", "") for i in range(0, len(names), 100)]
+    rows = pages(spark, [*good, ("http://warez.example.org/", "zumba zumba tango tango")])
+    model = u.train(rows)
+    assert sum(w.startswith("p:qz") for w in model.odds) == 60_000
+    assert model.odds["h:warez"] > 0
+    assert model.segmenter.split("zumbatango") == ("zumba", "tango")
+    assert [r.url for r in u.filter_urls(rows, model).where("blocked").collect()] == ["http://warez.example.org/"]
+
+
+def test_words_of_hosts_split_like_all_words(spark, tiny):
+    rows = spark.read.parquet(f"{tiny}/pages.parquet")
+    whole, part = u.train(rows), u.train(rows, urls=rows)
+    assert len(part.segmenter.cost) < len(whole.segmenter.cost)
+    assert part.odds == pytest.approx(whole.odds) and part.segmenter.unseen == whole.segmenter.unseen
+    assert all(part.words(r.url) == whole.words(r.url) for r in rows.select("url").collect())
+
+
 def test_empty(spark):
     none = pages(spark, [])
     assert u.filter_urls(none, u.train(none)).count() == 0
