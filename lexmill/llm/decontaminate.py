@@ -25,7 +25,7 @@ BLOCKS = 10
 RADIUS = 2 * BLOCKS - 1
 #: Least weighted similarity of a hit; least words of an item that can be matched.
 SIMILARITY, LEAST_WORDS = 0.6, 5
-#: Items whose index is held and sent to the executors at once; a larger benchmark takes several passes.
+#: Items whose index is held and sent to the executors at once; a larger benchmark takes several passes, with the same results.
 SHARD = 50_000
 _EDGES = np.linspace(0, 64, BLOCKS + 1).round().astype(np.int64)
 
@@ -55,7 +55,7 @@ class Benchmark:
     ids: list
     length: np.ndarray  # words
     shingles: list[np.ndarray]  # of each item, sorted
-    known: np.ndarray  # all shingles, sorted
+    known: np.ndarray  # all shingles of these items and those of several items of the whole benchmark, sorted
     weight: np.ndarray  # of each of known, scaled to integers
     most: int  # the weight of a shingle that no item has
     total: np.ndarray  # weight of each item
@@ -73,8 +73,41 @@ class Benchmark:
         return out
 
 
-def index(ids: list, texts: pa.Array) -> Benchmark | None:
-    """The index of items; those that are null or of fewer than LEAST_WORDS words take no part."""
+@dataclass
+class Frequencies:
+    """What the weights of a benchmark's word pairs follow from; a pair that isn't here is in one item at most."""
+
+    items: int
+    pair: np.ndarray  # pairs that several items have, sorted
+    count: np.ndarray  # items that have them
+
+
+def frequencies(benchmark: DataFrame) -> Frequencies:
+    """The number of items that take part, and in how many of them word pairs are that several have."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = words(*buffers(batch.column(0)), LOOSE)
+            kept = [w.hash[a:b] for a, b in zip(w.row[:-1], w.row[1:], strict=True) if b - a >= LEAST_WORDS]
+            found = np.concatenate([np.zeros(0, np.uint64), *(np.unique(_pairs_of(h)) for h in kept)])
+            # The null pair stands for items.
+            column = pa.concat_arrays([pa.array(found.view(np.int64)), pa.nulls(len(kept), pa.int64())])
+            yield pa.RecordBatch.from_arrays([column], ["pair"])
+
+    counted = benchmark.select("text").mapInArrow(pairs, "pair bigint").groupBy("pair").agg(F.count("*").alias("n"))
+    rows = counted.where("n > 1 OR pair IS NULL").toArrow()
+    pair, n = rows["pair"].combine_chunks(), rows["n"].to_numpy()
+    null = np.asarray(pair.is_null())
+    hashes = pair.fill_null(0).to_numpy()[~null].view(np.uint64)
+    order = np.argsort(hashes)
+    return Frequencies(int(n[null].sum()), hashes[order], n[~null][order])
+
+
+def index(ids: list, texts: pa.Array, whole: Frequencies | None = None) -> Benchmark | None:
+    """The index of items; those that are null or of fewer than LEAST_WORDS words take no part.
+
+    Where the items are a part of a benchmark, their weights follow from the frequencies of the whole.
+    """
     data, offsets = buffers(texts)
     w = words(data, offsets, LOOSE)
     keep = [r for r in range(len(ids)) if w.row[r + 1] - w.row[r] >= LEAST_WORDS]
@@ -82,14 +115,20 @@ def index(ids: list, texts: pa.Array) -> Benchmark | None:
         return None
     shingles = [np.sort(_pairs_of(w.hash[w.row[r] : w.row[r + 1]])) for r in keep]
     known, items = np.unique(np.concatenate([np.unique(s) for s in shingles]), return_counts=True)
-    weight = np.round(1000 * np.log1p(len(keep) / items)).astype(np.int64)
+    n = len(keep)
+    if whole is not None:
+        n = whole.items
+        known = np.union1d(known, whole.pair)
+        items = np.ones(len(known), np.int64)
+        items[np.searchsorted(known, whole.pair)] = whole.count
+    weight = np.round(1000 * np.log1p(n / items)).astype(np.int64)
     at = [np.searchsorted(known, s) for s in shingles]
     bits = max(12, int(np.ceil(np.log2(len(known) * 16))))
     filter_ = np.zeros(1 << bits, bool)
     filter_[(known >> np.uint64(64 - bits)).astype(np.int64)] = True
     sums = np.stack([(_signs(s).astype(np.int64) * weight[a][:, None]).sum(0) for s, a in zip(shingles, at, strict=True)])
     total = np.array([weight[a].sum() for a in at])
-    return Benchmark([ids[r] for r in keep], np.diff(w.row)[keep], shingles, known, weight, int(round(1000 * np.log1p(len(keep)))), total, _fingerprint(sums), filter_, 64 - bits)
+    return Benchmark([ids[r] for r in keep], np.diff(w.row)[keep], shingles, known, weight, int(round(1000 * np.log1p(n))), total, _fingerprint(sums), filter_, 64 - bits)
 
 
 def similarity(item: np.ndarray, window: np.ndarray, weight_of: dict[int, int], most: int) -> float:
@@ -216,10 +255,11 @@ def _scan(batches: Iterator[pa.RecordBatch], bench: Benchmark, least: float) ->
 def _indexes(benchmark: DataFrame, shard: int) -> Iterator[Benchmark]:
     """Indexes of shard items or so each, read one after the other."""
     passes = max(1, -(-benchmark.count() // shard))
+    whole = frequencies(benchmark) if passes > 1 else None
     for p in range(passes):
         part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).select("item_id", "text")
         rows = part.toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
-        bench = index(rows["item_id"].to_pylist(), rows["text"].combine_chunks()) if len(rows) else None
+        bench = index(rows["item_id"].to_pylist(), rows["text"].combine_chunks(), whole) if len(rows) else None
         if bench is not None:
             yield bench
 

@@ -63,6 +63,21 @@ def test_equals_brute_force(spark, docs):
     assert {k for k in exact if want[k][0] == 1} <= split
 
 
+def test_passes_do_not_change_results(spark, docs):
+    """Altered passages near the least similarity, and items that share word pairs with items of other passes."""
+    rows, items = corpus(2)
+    common = "kept under the rules of the board"
+    items = [(i, f"{common} {t}" if i % 3 else t) for i, t in items]
+    rows = [*rows, *((100 + i, " ".join("other" if k % 7 == 3 else w for k, w in enumerate(t.split()))) for i, t in items)]
+    bench = spark.createDataFrame([*items, (98, None), (99, "one two")], "item_id bigint, text string")
+    one = sorted(map(tuple, dc.contaminated(docs(rows), bench).collect()))
+    assert any(r[2] < 0.75 for r in one)
+    for shard in (3, 11):
+        assert sorted(map(tuple, dc.contaminated(docs(rows), bench, shard=shard).collect())) == one
+    left = {r.doc_id for r in dc.decontaminate(docs(rows), bench, shard=5).collect()}
+    assert left == {d for d, _ in rows} - {r[0] for r in one}
+
+
 def test_every_block_probe_is_found():
     r = np.random.default_rng(3)
     base = r.integers(0, 2**63, 50, dtype=np.uint64)
