@@ -5,7 +5,7 @@ looked up by blocks: with BLOCKS blocks and all block values one bit apart probe
 item fingerprint within RADIUS = 2 * BLOCKS - 1 bits is found. What is found is verified
 by the weighted Jaccard similarity of word pairs. Windows that hold too little weight of
 word pairs of the benchmark can't reach that similarity with any item of their size and
-get no fingerprint.
+get no fingerprint. Items too short for that are looked up by the hash of all their words.
 """
 
 from __future__ import annotations
@@ -19,17 +19,64 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm._text import LOOSE, buffers, mix, ragged, slices, table, words
+from lexmill.llm._text import LOOSE, Words, buffers, mix, prefix, ragged, slices, span_hash, table, words
 
 BLOCKS = 10
 RADIUS = 2 * BLOCKS - 1
-#: Least weighted similarity of a hit; least words of an item that can be matched.
+#: Least weighted similarity of a hit; an item of fewer words is matched exactly.
 SIMILARITY, LEAST_WORDS = 0.6, 5
 #: Items whose index is held and sent to the executors at once; a larger benchmark takes several passes, with the same results.
 SHARD = 50_000
 _EDGES = np.linspace(0, 64, BLOCKS + 1).round().astype(np.int64)
 
 
+#: Characters of scripts without spaces, each a word, and their punctuation, which separates: first and last.
+_ALONE = ((0xE00, 0x109F), (0x1780, 0x17FF), (0x3041, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
+_APART = ((0x3000, 0x3004), (0x3008, 0x3020), (0x3030, 0x3030), (0x30FB, 0x30FB), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
+#: Bytes of a text whose words are hashed at once.
+_PART = 1 << 24
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """LOOSE words, of which those in scripts without spaces are cut into characters."""
+    w = words(data, offsets, LOOSE)
+    lead = np.flatnonzero(data >= 0xE0)
+    if not len(lead):
+        return w
+    low = lambda k: data[np.minimum(lead + k, len(data) - 1)].astype(np.int64) & 0x3F
+    wide = data[lead] >= 0xF0
+    size = np.where(wide, 4, 3)
+    head = data[lead].astype(np.int64)
+    point = np.where(wide, (head & 7) << 18 | low(1) << 12 | low(2) << 6 | low(3), (head & 15) << 12 | low(1) << 6 | low(2))
+    apart = np.logical_or.reduce([(point >= a) & (point <= b) for a, b in _APART])
+    cut = apart | np.logical_or.reduce([(point >= a) & (point <= b) for a, b in _ALONE])
+    if not cut.any():
+        return w
+    begin = lead[cut]
+    after = begin + size[cut]
+    after = after[after < w.end[np.searchsorted(w.start, begin, "right") - 1]]
+    start = np.unique(np.concatenate([w.start, begin, after]))
+    end = np.minimum(np.append(start[1:], len(data)), w.end[np.searchsorted(w.start, start, "right") - 1])
+    keep = ~np.isin(start, lead[apart])
+    w.start, w.end = start[keep], end[keep]
+    w.row = np.searchsorted(w.start, offsets)
+    w.hash, a = np.zeros(len(w.start), np.uint64), 0
+    while a < len(w.start):
+        b = max(a + 1, int(np.searchsorted(w.end, w.start[a] + _PART, "right")))
+        at = w.start[a]
+        w.hash[a:b] = span_hash(prefix(LOOSE[data[at : w.end[b - 1]]]), w.start[a:b] - at, w.end[a:b] - at)
+        a = b
+    return w
+
+
+def _run_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of every n words in a row."""
+    out = hashes[: max(len(hashes) - n + 1, 0)]
+    for k in range(1, n):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + len(out)])
+    return out
+
+
 def _pairs_of(hashes: np.ndarray) -> np.ndarray:
     """Hashes of neighbouring words; none for a single word."""
     return mix(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:])
@@ -62,6 +109,8 @@ class Benchmark:
     fingerprint: np.ndarray
     filter: np.ndarray  # bits of known shingles, by their upper bits
     shift: int
+    short_ids: list  # items of fewer than LEAST_WORDS words, numbered after ids
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # by their words: hashes, sorted, and numbers
 
     def weights(self, shingles: np.ndarray) -> np.ndarray:
         """Weights of shingles, and 0 for those that no item has."""
@@ -87,7 +136,7 @@ def frequencies(benchmark: DataFrame) -> Frequencies:
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w = words(*buffers(batch.column(0)), LOOSE)
+            w = tokens(*buffers(batch.column(0)))
             kept = [w.hash[a:b] for a, b in zip(w.row[:-1], w.row[1:], strict=True) if b - a >= LEAST_WORDS]
             found = np.concatenate([np.zeros(0, np.uint64), *(np.unique(_pairs_of(h)) for h in kept)])
             # The null pair stands for items.
@@ -104,15 +153,27 @@ def frequencies(benchmark: DataFrame) -> Frequencies:
 
 
 def index(ids: list, texts: pa.Array, whole: Frequencies | None = None) -> Benchmark | None:
-    """The index of items; those that are null or of fewer than LEAST_WORDS words take no part.
+    """The index of items; those that are null or without words take no part.
 
     Where the items are a part of a benchmark, their weights follow from the frequencies of the whole.
     """
     data, offsets = buffers(texts)
-    w = words(data, offsets, LOOSE)
-    keep = [r for r in range(len(ids)) if w.row[r + 1] - w.row[r] >= LEAST_WORDS]
-    if not keep:
+    w = tokens(data, offsets)
+    length = np.diff(w.row)
+    keep = np.flatnonzero(length >= LEAST_WORDS).tolist()
+    brief = np.flatnonzero((length > 0) & (length < LEAST_WORDS))
+    if not keep and not len(brief):
         return None
+    short = {}
+    for size in np.unique(length[brief]).tolist():
+        which = np.flatnonzero(length[brief] == size)
+        hashes = np.array([_run_of(w.hash[w.row[r] : w.row[r + 1]], size)[0] for r in brief[which]], np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        short[size] = hashes[order], len(keep) + which[order]
+    short_ids = [ids[r] for r in brief]
+    if not keep:
+        none = np.zeros(0, np.int64)
+        return Benchmark([], none, [], none.view(np.uint64), none, 0, none, none.view(np.uint64), np.zeros(1 << 12, bool), 52, short_ids, short)
     shingles = [np.sort(_pairs_of(w.hash[w.row[r] : w.row[r + 1]])) for r in keep]
     known, items = np.unique(np.concatenate([np.unique(s) for s in shingles]), return_counts=True)
     n = len(keep)
@@ -128,7 +189,7 @@ def index(ids: list, texts: pa.Array, whole: Frequencies | None = None) -> Bench
     filter_[(known >> np.uint64(64 - bits)).astype(np.int64)] = True
     sums = np.stack([(_signs(s).astype(np.int64) * weight[a][:, None]).sum(0) for s, a in zip(shingles, at, strict=True)])
     total = np.array([weight[a].sum() for a in at])
-    return Benchmark([ids[r] for r in keep], np.diff(w.row)[keep], shingles, known, weight, int(round(1000 * np.log1p(n))), total, _fingerprint(sums), filter_, 64 - bits)
+    return Benchmark([ids[r] for r in keep], length[keep], shingles, known, weight, int(round(1000 * np.log1p(n))), total, _fingerprint(sums), filter_, 64 - bits, short_ids, short)
 
 
 def similarity(item: np.ndarray, window: np.ndarray, weight_of: dict[int, int], most: int) -> float:
@@ -233,14 +294,32 @@ def _hits(hashes: np.ndarray, edges: np.ndarray, bench: Benchmark, least: float)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else none
 
 
+def _short_hits(hashes: np.ndarray, edges: np.ndarray, bench: Benchmark) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """What _hits gives, for the items that are matched exactly."""
+    stop = np.repeat(edges[1:], np.diff(edges))
+    for size, (known, numbers) in bench.short.items():
+        runs = _run_of(hashes, size)
+        first = np.searchsorted(known, runs)
+        start = np.flatnonzero((known[np.minimum(first, len(known) - 1)] == runs) & (np.arange(len(runs)) + size <= stop[: len(runs)]))
+        count = np.searchsorted(known, runs[start], "right") - first[start]
+        item = numbers[np.repeat(first[start], count) + ragged(count)]
+        start = np.repeat(start, count)
+        yield start, np.full(len(start), size), item, np.ones(len(start))
+
+
+def _all_hits(hashes: np.ndarray, edges: np.ndarray, bench: Benchmark, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    found = [_hits(hashes, edges, bench, least), *_short_hits(hashes, edges, bench)]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def _scan(batches: Iterator[pa.RecordBatch], bench: Benchmark, least: float) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "item", "similarity", "start_word", "n_words"]
     for batch in batches:
         ids = batch.column(0)
         data, offsets = buffers(batch.column(1))
         for a, b in slices(offsets):
-            w = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], LOOSE)
-            start, size, item, score = _hits(w.hash, w.row, bench, least)
+            w = tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            start, size, item, score = _all_hits(w.hash, w.row, bench, least)
             if not len(start):
                 continue
             row = np.searchsorted(w.row, start, "right") - 1
@@ -267,13 +346,15 @@ def _indexes(benchmark: DataFrame, shard: int) -> Iterator[Benchmark]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, text: str = "text", key: str = "doc_id", shard: int = SHARD) -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_words): the best window for each document and item it holds.
 
-    Words are runs of ASCII letters and digits and of other letters, in lower case. Of
+    Words are runs of ASCII letters and digits and of other letters, in lower case; in
+    scripts without spaces, each character is a word and their punctuation separates. Of
     equally similar windows the first and then the shortest counts. A window is cut off at
     the end of its document, so that a document that is a part of an item can match. A
     null text, an empty one and one of a single word have no rows; a null doc_id stays
-    null; rows with a doc_id that repeats give a row each. Items that are null or of fewer
-    than LEAST_WORDS words take no part; of items with one item_id each takes part. An
-    empty benchmark gives an empty result. Whole texts are read.
+    null; rows with a doc_id that repeats give a row each. Items of fewer than
+    LEAST_WORDS words match only where all their words stand in a row, with similarity 1;
+    even an item of one word matches wherever that word stands. Items that are null or
+    without words take no part; of items with one item_id each takes part. An empty benchmark gives an empty result. Whole texts are read.
     """
     source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
@@ -283,7 +364,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARIT
     for bench in _indexes(benchmark, shard):
         sent = spark.sparkContext.broadcast(bench)
         hits = source.mapInArrow(lambda x, sent=sent: _scan(x, sent.value, least), f"doc_id {kind}, item int, similarity double, start_word int, n_words int")
-        numbers = spark.createDataFrame([(i, v) for i, v in enumerate(bench.ids)], f"item int, item_id {id_kind}")
+        numbers = spark.createDataFrame([(i, v) for i, v in enumerate([*bench.ids, *bench.short_ids])], f"item int, item_id {id_kind}")
         hits = hits.join(F.broadcast(numbers), "item").select("doc_id", "item_id", "similarity", "start_word", "n_words")
         out = hits if out is None else out.unionByName(hits)
     return out if out is not None else spark.createDataFrame([], f"doc_id {kind}, item_id {id_kind}, similarity double, start_word int, n_words int")
@@ -297,8 +378,8 @@ def clean(text: Column, sent: Broadcast, least: float = SIMILARITY) -> Column:
         data, offsets = buffers(texts)
         out = np.ones(len(texts), bool)
         for a, b in slices(offsets):
-            w = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], LOOSE)
-            start = _hits(w.hash, w.row, sent.value, least)[0]
+            w = tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            start = _all_hits(w.hash, w.row, sent.value, least)[0]
             out[np.searchsorted(w.row, start, "right") - 1 + a] = False
         return pa.array(out)
 

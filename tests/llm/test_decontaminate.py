@@ -78,6 +78,23 @@ def test_passes_do_not_change_results(spark, docs):
     assert left == {d for d, _ in rows} - {r[0] for r in one}
 
 
+def test_short_items_and_scripts_without_spaces(spark, docs):
+    chinese = "董事会每月第一天开会，并保存会议记录。"
+    items = [(1, "Quick brown fox"), (2, "zebra"), (3, chinese), (4, "ที่ประชุมใหญ่สามัญประจำปี"), (5, "日本語"), (6, "!!!"), (7, "quick BROWN fox"), (8, "a b c d e f g h")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = [
+        (1, "the quick, brown fox runs"), (2, "quick red brown fox"), (3, "one zebra"), (4, "前言：" + chinese + "结束"), (5, "前言" + chinese.replace("，", "").replace("保存", "保管") + "end"),
+        (6, "กขที่ประชุมใหญ่สามัญประจำปีกข"), (7, "これは日本語です"), (8, "日本の言語"), (9, "quick"), (10, "brown fox"), (11, "x a b c d e f g h y"), (12, ""),
+    ]
+    for shard in (50, 2):
+        found = {(r.doc_id, r.item_id): (r.similarity, r.start_word, r.n_words) for r in dc.contaminated(docs(rows), bench, shard=shard).collect()}
+        assert set(found) == {(1, 1), (1, 7), (3, 2), (4, 3), (5, 3), (6, 4), (7, 5), (11, 8)}
+        assert found[1, 1] == (1.0, 1, 3) and found[7, 5] == (1.0, 3, 3) and found[4, 3] == (1.0, 2, 17) and 0.6 <= found[5, 3][0] < 1
+        assert {r.doc_id for r in dc.decontaminate(docs(rows), bench, shard=shard).collect()} == {2, 8, 9, 10, 12}
+    only = bench.where("item_id = 2")
+    assert [r.doc_id for r in dc.contaminated(docs(rows), only).collect()] == [3]
+
+
 def test_every_block_probe_is_found():
     r = np.random.default_rng(3)
     base = r.integers(0, 2**63, 50, dtype=np.uint64)
