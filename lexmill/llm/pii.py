@@ -1,14 +1,16 @@
 """Personal data and secrets: candidate spans, scored by boosted trees, and redacted.
 
 Generators of high recall propose spans, which may overlap: e-mail addresses, network
-addresses, telephone and account numbers (every sequence of neighbouring digit groups of
-a fitting length), keys and passwords. Boosted trees score each span by its format and
+addresses (IPv4, IPv6, MAC), telephone and account numbers (every sequence of neighbouring
+digit groups of a fitting length, and IBANs), long keys, and any value after the name of
+a secret. Boosted trees score each span by its format and
 its context. A span is selected whose score reaches the threshold of its kind, calibrated
 on held-out examples; of overlapping ones, the better.
 """
 
 from __future__ import annotations
 
+import ipaddress
 import math
 import random
 import re
@@ -32,6 +34,10 @@ GROUPS, LEAST_DIGITS, MOST_DIGITS = 6, 7, 19
 
 _EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]++@[\w-]++(?:\.[\w-]++)+")
 _IP = re.compile(r"(?<![\d.])\d{1,4}(?:\.\d{1,4}){3}(?![\d]|\.\d)")
+_IPV6 = re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f]{0,4}:)[0-9A-Fa-f:]{2,}+(?:\.\d{1,3}){0,3}")
+_MAC = re.compile(r"(?<![\w:-])[0-9A-Fa-f]{2}(?:(?::[0-9A-Fa-f]{2}){5}|(?:-[0-9A-Fa-f]{2}){5})(?!\w|[:-]\w)")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ -]?[A-Z0-9]{4}){2,7}(?:[ -]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_NAMED = re.compile(r"(?:token|secret|passw\w*|passphrase|pass|pwd|key|credentials?|bearer|auth\w*)[\"']?[ \t]{0,3}[=:][ \t]{0,3}([\"']?)(\S+)", re.I)
 _RUN = re.compile(r"[+(]{0,2}\d(?:[\d ().+-]*\d)?")
 _GROUP = re.compile(r"\d+")
 _SECRET = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+={0,2}")
@@ -46,12 +52,48 @@ _CLUES = {
 }
 
 
+def _is_ipv6(s: str) -> bool:
+    try:
+        ipaddress.IPv6Address(s)
+    except ValueError:
+        return False
+    return len(s) > 2
+
+
+def _named(text: str) -> list[tuple[int, int]]:
+    """Values after names of secrets; what ends in punctuation may end before any of it."""
+    out, at = [], 0
+    while m := _NAMED.search(text, at):
+        start, value = m.start(2), m[2]
+        at = start
+        if m[1] and m[1] in value:
+            value = value[: value.index(m[1])]
+            out.append((start, start + len(value)))
+        else:
+            bare = len(value)
+            while bare and not value[bare - 1].isalnum():
+                bare -= 1
+            out += [(start, start + n) for n in {*range(max(bare, 1), min(bare + 8, len(value)) + 1), len(value)}]
+    return [x for x in out if x[0] < x[1]]
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every proposed span, in characters."""
     out: list[tuple[int, int, str]] = []
     if "@" in text:
         out += [(*m.span(), "email") for m in _EMAIL.finditer(text)]
     out += [(*m.span(), "ip") for m in _IP.finditer(text)]
+    if ":" in text:
+        for m in _IPV6.finditer(text):
+            for found in (m.group(), m.group().rstrip(":"), m.group().split(".")[0], m.group().split(".")[0].rstrip(":")):
+                if _is_ipv6(found):
+                    out.append((m.start(), m.start() + len(found), "ip"))
+                    break
+    out += [(*m.span(), "ip") for m in _MAC.finditer(text)]
+    for m in _IBAN.finditer(text):
+        # Capitals that follow may not belong to it.
+        ends = {m.end(), *(m.start() + i for i, c in enumerate(m.group()) if c in " -")}
+        out += [(m.start(), e, "account") for e in sorted(ends) if sum(c.isalnum() for c in text[m.start() : e]) >= 15]
     for run in _RUN.finditer(text):
         if run.end() - run.start() < LEAST_DIGITS:
             continue
@@ -74,6 +116,8 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     for m in _SECRET.finditer(text):
         if any(c.isdigit() for c in m.group()) or _ASSIGNED.search(text, max(0, m.start() - 4), m.start()):
             out.append((*m.span(), "secret"))
+    have = {x[:2] for x in out if x[2] == "secret"}
+    out += [(*x, "secret") for x in dict.fromkeys(_named(text)) if x not in have]
     return out
 
 
@@ -85,6 +129,11 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _iban(s: str) -> bool:
+    s = "".join(c for c in s if c.isalnum())
+    return s.isascii() and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
 def describe(text: str, start: int, end: int, kind: str) -> list[float]:
     """Format and context features of a span."""
     s = text[start:end]
@@ -103,7 +152,10 @@ def describe(text: str, start: int, end: int, kind: str) -> list[float]:
         len(_NO_HEX.sub("", s)) / n,
         -sum(c / n * math.log2(c / n) for c in counts.values()),
         len(groups), max(groups, default=0), min(groups, default=0), float(len(digits) > 11 and _luhn(digits)),
-        float(s.startswith("+")), float("(" in s), s.count(" "), s.count("-"), s.count("."), s.count("@"),
+        float(s.startswith("+")), float("(" in s), s.count(" "), s.count("-"), s.count("."), s.count("@"), s.count(":"),
+        float(s[:2].isalpha() and kind == "account" and _iban(s)), float(kind == "secret" and s.isalpha() and (s.islower() or s[1:].islower())),
+        sum(not c.isalnum() for c in s) / n, float(s[-1].isalnum()), float(kind == "ip" and "::" in s),
+        float(kind == "secret" and right in ("!", "$")), float(kind == "secret" and s[-1] in "!$"),
         float(bool(octets) and max(octets) <= 255), float(bool(octets) and octets[0] > 0),
         side(left), side(right), float(right == "." and after[1:2].isdigit()), float(left == "." and before[-2:-1].isdigit()),
         float(bool(re.search(r"[=:]\s*[\"']?$", before))), float(before.rstrip(" ").endswith(("$", "#", "v", "€"))),
@@ -121,6 +173,32 @@ def examples(count: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]
     hexa = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
     mixed = lambda k: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-") for _ in range(k))
 
+    def iban() -> str:
+        body = r.choice([num(16), num(18), num(20), "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(4)) + num(14), num(14), num(11)])
+        land = r.choice(["DE", "GB", "FR", "LU", "AT", "NL", "ES", "CH"])
+        check = 98 - int("".join(str(int(c, 36)) for c in body + land + "00")) % 97
+        full = f"{land}{check:02d}{body}"
+        sep = r.choice(["", " ", " "])
+        return sep.join(full[i : i + 4] for i in range(0, len(full), 4))
+
+    def address() -> str:
+        group = lambda: f"{r.randrange(1 << 16):x}"
+        sep = r.choice(":-")
+        return r.choice([
+            ":".join(group() for _ in range(8)), f"2001:db8:{group()}::{group()}", f"fe80::{group()}:{group()}:{group()}:{group()}", f"2a0{num(1)}:{group()}:{group()}::{r.randint(1, 99)}",
+            sep.join(hexa(2) for _ in range(6)), sep.join(hexa(2).upper() for _ in range(6)),
+        ])
+
+    def password() -> tuple[str, str]:
+        name = r.choice(["password", "Password", "passwd", "pwd", "pass", "secret", "token", "db_password", "api_key"])
+        plain_ = "abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+        body = r.choice([
+            "".join(r.choice(plain_ + "!@$.%*?_-") for _ in range(r.randint(7, 14))), "".join(r.choice(plain_) for _ in range(r.randint(7, 14))),
+            word().capitalize() + num(r.randint(2, 4)) + r.choice(["", "!", "$", "?"]), f"{word()}{r.choice('.-_@!$')}{word()}{num(2)}", f"{word()[:2]}@{word()}.{word()}{num(1)}",
+        ]) + r.choice(["", "", "!", "$"])
+        body = r.choice(plain_) + body + ("" if any(c.isdigit() for c in body) else num(1))
+        return name + r.choice([" = ", "=", ": ", ":"]) + r.choice(['"', "'", "", ""]), body
+
     def card() -> str:
         body = num(15)
         full = body + next(d for d in "0123456789" if _luhn(body + d)) if r.random() < 0.4 else body + num(1)
@@ -146,6 +224,8 @@ def examples(count: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]
             f"isbn 978-{num(1)}-{num(4)}-{num(4)}-{num(1)}", f"{num(4)} {num(2)} {num(3)}", f"page {num(3)}", f"{num(25)}", f"{word()}-{word()}-{word()}-{word()}-{num(2)}", f"id {num(8)}", f"{num(4)}-{num(2)}-{num(2)} {num(2)}:{num(2)}:{num(2)}",
             f"{r.randint(256, 999)}.{num(3)}.{num(3)}.{num(3)}", f"user@{word()}", f"@{word()}{num(2)}", f"{' '.join(num(r.randint(1, 3)) for _ in range(r.randint(3, 12)))}", f"uuid {hexa(8)}-{hexa(4)}-{hexa(4)}-{hexa(4)}-{hexa(12)}",
             f"{word()}_{word()}_{word()}_{word()}{num(1)}", f"${num(3)},{num(3)}.{num(2)}", f"+{num(2)}%",
+            *(f"{r.choice(['key', 'token', 'password', 'secret', 'Key', 'auth', 'pass'])}{r.choice([': ', '= ', ' = ', ':'])}{r.choice([word(), word(), word().capitalize(), num(r.randint(1, 3)), 'true', 'none', 'the', 'required'])}" for _ in range(4)),
+            f"{num(2)}:{num(2)}:{num(2)}", f"{word()}::{word()}",
         ])
 
     out = []
@@ -165,13 +245,14 @@ def examples(count: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]
                         value = r.choice([f"{word()}.{num(2)}", word(), f"{word()}.{word()}", f"{word()}+{word()}", f"{word()}_{num(3)}", f"{word()},{word()}.{num(2)}".split(",")[1]]) + "@" + r.choice([f"{word()}.com", f"mail{num(1)}.example.com", f"{word()}.{word()}.org", f"{word()}-{word()}.de", f"{word()}.co.uk"])
                     elif kind == "ip":
                         value = ".".join(str(r.randint(1 if i == 0 else 0, 255)) for i in range(4))
+                        value = address() if r.random() < 0.4 else value
                         lead = r.choice(["", "", "", "ip ", "address ", "host: "])
                     elif kind == "phone":
                         value, lead = phone(), r.choice(["", "", "", "tel ", "phone: ", "call "])
                     elif kind == "account":
-                        value, lead = card(), r.choice(["", "", "", "", "card ", "account: "])
+                        value, lead = r.choice([card, card, iban])(), r.choice(["", "", "", "", "card ", "account: "])
                     else:
-                        lead, value = secret()
+                        lead, value = r.choice([secret, secret, password])()
                         tail = lead[-1] if lead[-1] in "\"'" else ""
                     text += lead
                     spans.append((len(text), len(text) + len(value), kind))
@@ -181,9 +262,24 @@ def examples(count: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]
     return out
 
 
+@dataclass
+class Forests:
+    """Trees for each kind of candidate, by the columns of describe that tell kinds."""
+
+    by: list[Forest]
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x))
+        for k, forest in enumerate(self.by):
+            rows = np.flatnonzero(x[:, k] > 0)
+            if len(rows):
+                out[rows] = forest.score(x[rows])
+        return out
+
+
 @dataclass
 class PiiModel:
-    forest: Forest
+    forest: Forests
     thresholds: dict[str, float]
 
 
@@ -202,7 +298,7 @@ def _labelled(texts: list[tuple[str, list[tuple[int, int, str]]]]) -> tuple[np.n
 def train(count: int = 1500, seed: int = 11, precision: float = 0.97) -> PiiModel:
     """Trees fitted on made-up examples; each kind's threshold is the least score that keeps its held-out precision."""
     x, y, _ = _labelled(examples(count, seed))
-    forest = fit_forest(x, y, trees=60, depth=4, least=2.0)
+    forest = Forests([fit_forest(x[x[:, k] > 0], y[x[:, k] > 0], trees=60, depth=4, least=2.0) for k in range(len(KINDS))])
     hx, hy, kinds = _labelled(examples(count, seed + 1))
     score, kinds = forest.score(hx), np.array(kinds)
     thresholds = {}
@@ -240,13 +336,13 @@ def mask(text: str, spans: list[tuple[int, int, str, float]]) -> str:
 
 
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("score", pa.float64())])
-_TELLING = np.isin(np.arange(256), list(b"0123456789@=:"))
+_TELLING = np.isin(np.arange(256), list(b"0123456789@=:-"))
 
 
 def _redacted(texts: pa.Array, model: PiiModel) -> pa.Array:
     data, offsets = buffers(texts)
     hits = np.concatenate([[0], np.flatnonzero(_TELLING[data])]) if len(data) else np.zeros(1, np.int64)
-    # Every generator needs a digit, an @ or an assignment: texts without have no candidates.
+    # Every generator needs a digit, an @, a colon, a hyphen or an assignment: texts without have no candidates.
     at = np.searchsorted(hits[1:], offsets)
     rows = np.flatnonzero(np.diff(at))
     spans, x, owners = [], [], []

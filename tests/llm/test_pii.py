@@ -25,6 +25,31 @@ def test_redacts(model, text, wanted):
     assert pii._redacted(pa.array([text]), model).field("text")[0].as_py() == wanted
 
 
+SHORT = [
+    ("password=hunter42! and", "password=[SECRET] and"),
+    ("Password: Tr0ub4dor&3 works", "Password: [SECRET] works"),
+    ('"pwd": "p@ss.w0rd$", next', '"pwd": "[SECRET]", next'),
+    ("host 2001:db8:85a3::8a2e:370:7334 fails", "host [IP] fails"),
+    ("card at 3c:22:fb:9a:01:7e answers", "card at [IP] answers"),
+    ("pay to DE89 3704 0044 0532 0130 00 at once", "pay to [ACCOUNT] at once"),
+    ("pay to GB82WEST12345698765432 at once", "pay to [ACCOUNT] at once"),
+]
+
+
+@pytest.mark.parametrize("text, wanted", SHORT)
+def test_redacts_short_secrets_and_other_addresses(model, text, wanted):
+    import pyarrow as pa
+
+    assert pii._redacted(pa.array([text]), model).field("text")[0].as_py() == wanted
+
+
+@pytest.mark.parametrize("text", ["password: required", "the key: a good start", "at 12:30:45 std::vector"])
+def test_leaves_words_after_names(model, text):
+    import pyarrow as pa
+
+    assert pii._redacted(pa.array([text]), model).field("text")[0].as_py() == text
+
+
 @pytest.mark.parametrize("text", ["version 2.0.1 of 2024-11-03", "page 12, section 4.2.1.3", "Licensed under the Apache License, Version 2.0.", "commit 3f786850e387550fdab836ed7e6dc881de23001b", "a 50 % rise to 1,200,500", "nothing at all"])
 def test_leaves_alone(model, text):
     import pyarrow as pa
