@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -34,39 +35,58 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-_scratch: list[tuple[SparkSession, str]] = []
+_scratch: dict[str, SparkSession] = {}
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
 def _drop_scratch() -> None:
-    for spark, path in _scratch:
+    for path, spark in _scratch.items():
         with contextlib.suppress(Exception):
             if path.startswith("file:") or "://" not in path:
                 shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
             else:
-                jvm = spark._jvm
-                where = jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+                _remove(spark, path)
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share: tables between stages are written there")
+    root = next((p for p in _scratch if p.startswith(f"{tempfile.gettempdir()}/lexmill-") and p.count("/") == 2), None) or tempfile.mkdtemp(prefix="lexmill-")
+    _scratch[root] = spark
+    return root
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the folder that all executors share, and read again.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset, as in
-    tests, a temporary folder of this process serves. Tables go when the process ends.
+    The folder is the session's spark.checkpoint.dir. Where that is unset, as in tests, a
+    session in one process uses a temporary folder, and any other an error. Tables go when
+    the process ends, or with drop_table.
     """
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="lexmill-")
-        _scratch.append((spark, root))
-    if not _scratch:
-        atexit.register(_drop_scratch)
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
-    _scratch.append((spark, path))
+    path = f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _scratch[path] = spark
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Remove a table that stash wrote and nothing reads any more."""
+    files = df.inputFiles()
+    path = next((p for p in _scratch if files and f"/{p.rsplit('/', 1)[-1]}/" in files[0]), None)
+    if path:
+        _remove(_scratch.pop(path), path)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: spreads every bit over all others."""
     h = h.astype(U64, copy=True)
@@ -172,7 +192,7 @@ class Words:
         return np.repeat(np.arange(len(self.row) - 1), np.diff(self.row))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, by: np.ndarray = EXACT, limit: int = 1 << 24) -> Words:
+def words(data: np.ndarray, offsets: np.ndarray, by: np.ndarray = EXACT, limit: int = 1 << 22) -> Words:
     """Words of documents. One document beyond limit bytes is hashed in parts cut between words."""
     if len(data) <= limit or len(offsets) != 2:
         return Words(data, offsets, by)

@@ -19,5 +19,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_repeats": repeats.oracle(),
+    "op6_neardup": neardup.oracle(),
     "op9_fingerprints": fingerprints.oracle(),
 }

@@ -1,11 +1,13 @@
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 
 import corpus_pipeline
-from lexmill.llm import bpe, neardup, pii, quality
-from lexmill.llm._text import buffers
+from lexmill.llm import bpe, pii, quality
 from tests.llm.test_decontaminate import brute
+from tests.llm.test_neardup import brute as near
 
 
 def test_equals_plain_version(spark, tiny):
@@ -14,16 +16,8 @@ def test_equals_plain_version(spark, tiny):
     ids, texts = docs["doc_id"].to_pylist(), docs["text"].to_pylist()
     model = quality.train(spark, tiny)
     good = model.scores(docs["text"].combine_chunks()) >= model.threshold
-    left = {i: t for i, t, g in zip(ids, texts, good, strict=True) if g and neardup._signatures(*buffers(pa.array([t])))[2][0]}
-    names = sorted(left)
-    prints, keys, _ = neardup._signatures(*buffers(pa.array([left[i] for i in names])))
-    root = list(range(len(names)))
-    for a in range(len(names)):
-        for b in range(a):
-            if int(prints[a] ^ prints[b]).bit_count() <= neardup.RADIUS and (keys[a] == keys[b]).any():
-                x, y = sorted((root[a], root[b]))
-                root = [x if r == y else r for r in root]
-    left = {names[a]: left[names[a]] for a in range(len(names)) if root[a] == a}
+    left = {i: t for i, t, g in zip(ids, texts, good, strict=True) if g and re.search(r"[^\W_]", t)}
+    left = {i: left[i] for i, group, _, _ in near(sorted(left.items())) if i == group}
     bench = pq.read_table(f"{tiny}/benchmark.parquet")
     # Comparing every window with every item is slow: items that share no three words in a row with a text can't reach the similarity.
     items = list(zip(bench["item_id"].to_pylist(), bench["text"].to_pylist(), strict=True))
