@@ -8,11 +8,12 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -35,6 +36,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def thinned(df: DataFrame, rows: int, bound: int, hashed: Column) -> DataFrame:
+    """Rows of df whose hashes are in a range that leaves about twice bound of them; all where there are no more."""
+    share = min(1.0, 2 * bound / max(rows, 1))
+    return df if share == 1 else df.where(F.pmod(hashed, F.lit(1 << 40)) < int(share * (1 << 40)))
+
+
 _scratch: dict[str, SparkSession] = {}
 
 
@@ -192,11 +199,9 @@ class Words:
         return np.repeat(np.arange(len(self.row) - 1), np.diff(self.row))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, by: np.ndarray = EXACT, limit: int = 1 << 22) -> Words:
-    """Words of documents. One document beyond limit bytes is hashed in parts cut between words."""
-    if len(data) <= limit or len(offsets) != 2:
-        return Words(data, offsets, by)
-    parts, lo = [], 0
+def cuts(data: np.ndarray, by: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of about limit bytes of one document that end after a separator of by, or at its end."""
+    lo = 0
     while lo < len(data):
         hi = min(lo + limit, len(data))
         if hi < len(data):
@@ -204,18 +209,36 @@ def words(data: np.ndarray, offsets: np.ndarray, by: np.ndarray = EXACT, limit:
             if len(gaps):
                 hi = lo + int(gaps[-1]) + 1
             else:
-                rest = np.flatnonzero(by[data[hi:]] == 0)
-                hi = hi + int(rest[0]) if len(rest) else len(data)
-        part = Words(data[lo:hi], np.array([0, hi - lo]), by)
+                while hi < len(data):
+                    rest = np.flatnonzero(by[data[hi : hi + limit]] == 0)
+                    if len(rest):
+                        hi += int(rest[0]) + 1
+                        break
+                    hi = min(hi + limit, len(data))
+        yield lo, hi
+        lo = hi
+
+
+def parted(make: Callable[[np.ndarray, np.ndarray], Words], data: np.ndarray, offsets: np.ndarray, by: np.ndarray, limit: int) -> Words:
+    """make's words of documents; those of one document beyond limit bytes are found in parts cut at separators."""
+    if len(data) <= limit or len(offsets) != 2:
+        return make(data, offsets)
+    parts = []
+    for lo, hi in cuts(data, by, limit):
+        part = make(data[lo:hi], np.array([0, hi - lo]))
         part.start, part.end = part.start + lo, part.end + lo
         parts.append(part)
-        lo = hi
     out = parts[0]
     out.start, out.end, out.hash = (np.concatenate([getattr(p, k) for p in parts]) for k in ("start", "end", "hash"))
     out.row = np.array([0, len(out.start)])
     return out
 
 
+def words(data: np.ndarray, offsets: np.ndarray, by: np.ndarray = EXACT, limit: int = 1 << 22) -> Words:
+    """Words of documents. One document beyond limit bytes is hashed in parts cut between words."""
+    return parted(lambda d, o: Words(d, o, by), data, offsets, by, limit)
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of values[i:i + width] for each i at which the window fits."""
     n = len(values) - width + 1

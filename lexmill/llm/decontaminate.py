@@ -1,11 +1,12 @@
 """Benchmark decontamination: SimHash of item-sized windows, verified exactly.
 
-A window of a document has as many words as an item of the benchmark. Its fingerprint is
-looked up by blocks: with BLOCKS blocks and all block values one bit apart probed, every
-item fingerprint within RADIUS = 2 * BLOCKS - 1 bits is found. What is found is verified
-by the weighted Jaccard similarity of word pairs. Windows that hold too little weight of
-word pairs of the benchmark can't reach that similarity with any item of their size and
-get no fingerprint. Items too short for that are looked up by the hash of all their words.
+A window of a document has as many words as an item of the benchmark. Its fingerprint has
+BITS bits, each the sign of a sum over its words, and is looked up by blocks: with BLOCKS
+blocks and all block values one bit apart probed, every item fingerprint within
+RADIUS = 2 * BLOCKS - 1 bits is found. What is found is verified by the weighted Jaccard
+similarity of word pairs. Windows that hold too little weight of word pairs of the
+benchmark can't reach that similarity with any item of their size and get no fingerprint.
+Items too short for that are looked up by the hash of all their words.
 """
 
 from __future__ import annotations
@@ -19,27 +20,31 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm._text import LOOSE, Words, buffers, mix, prefix, ragged, slices, span_hash, table, words
+from lexmill.llm._text import LOOSE, Words, buffers, mix, parted, prefix, ragged, slices, span_hash, table
 
-BLOCKS = 10
+BITS, BLOCKS = 128, 12
 RADIUS = 2 * BLOCKS - 1
 #: Least weighted similarity of a hit; an item of fewer words is matched exactly.
 SIMILARITY, LEAST_WORDS = 0.6, 5
 #: Items whose index is held and sent to the executors at once; a larger benchmark takes several passes, with the same results.
 SHARD = 50_000
-_EDGES = np.linspace(0, 64, BLOCKS + 1).round().astype(np.int64)
+_EDGES = np.linspace(0, BITS, BLOCKS + 1).round().astype(np.int64)
+#: Words whose sums of bits are held at once.
+_SPAN = 1 << 15
 
 
 #: Characters of scripts without spaces, each a word, and their punctuation, which separates: first and last.
 _ALONE = ((0xE00, 0x109F), (0x1780, 0x17FF), (0x3041, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
 _APART = ((0x3000, 0x3004), (0x3008, 0x3020), (0x3030, 0x3030), (0x30FB, 0x30FB), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
-#: Bytes of a text whose words are hashed at once.
-_PART = 1 << 24
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """LOOSE words, of which those in scripts without spaces are cut into characters."""
-    w = words(data, offsets, LOOSE)
+def tokens(data: np.ndarray, offsets: np.ndarray, limit: int = 1 << 22) -> Words:
+    """LOOSE words, of which those in scripts without spaces are cut into characters; a long document's in parts."""
+    return parted(_tokens, data, offsets, LOOSE, limit)
+
+
+def _tokens(data: np.ndarray, offsets: np.ndarray) -> Words:
+    w = Words(data, offsets, LOOSE)
     lead = np.flatnonzero(data >= 0xE0)
     if not len(lead):
         return w
@@ -60,12 +65,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> Words:
     keep = ~np.isin(start, lead[apart])
     w.start, w.end = start[keep], end[keep]
     w.row = np.searchsorted(w.start, offsets)
-    w.hash, a = np.zeros(len(w.start), np.uint64), 0
-    while a < len(w.start):
-        b = max(a + 1, int(np.searchsorted(w.end, w.start[a] + _PART, "right")))
-        at = w.start[a]
-        w.hash[a:b] = span_hash(prefix(LOOSE[data[at : w.end[b - 1]]]), w.start[a:b] - at, w.end[a:b] - at)
-        a = b
+    w.hash = span_hash(prefix(LOOSE[data]), w.start, w.end)
     return w
 
 
@@ -84,15 +84,17 @@ def _pairs_of(hashes: np.ndarray) -> np.ndarray:
 
 def _block(fingerprints: np.ndarray, b: int) -> np.ndarray:
     width = int(_EDGES[b + 1] - _EDGES[b])
-    return ((fingerprints >> np.uint64(_EDGES[b])) & np.uint64((1 << width) - 1)).astype(np.int64)
+    return ((fingerprints[:, _EDGES[b] // 64] >> np.uint64(_EDGES[b] % 64)) & np.uint64((1 << width) - 1)).astype(np.int64)
 
 
-def _signs(shingles: np.ndarray) -> np.ndarray:
-    return np.unpackbits(shingles.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int8) * np.int8(2) - np.int8(1)
+def _signs(hashes: np.ndarray) -> np.ndarray:
+    """1 or -1 for each bit of words."""
+    halves = [np.unpackbits(mix(hashes ^ np.uint64(k + 1)).view(np.uint8).reshape(-1, 8), axis=1) for k in range(BITS // 64)]
+    return np.concatenate(halves, axis=1).astype(np.int8) * np.int8(2) - np.int8(1)
 
 
 def _fingerprint(sums: np.ndarray) -> np.ndarray:
-    return np.packbits(sums > 0, axis=1).view(np.uint64).ravel()
+    return np.packbits(sums > 0, axis=1).view(np.uint64).reshape(len(sums), -1)
 
 
 @dataclass
@@ -106,12 +108,28 @@ class Benchmark:
     weight: np.ndarray  # of each of known, scaled to integers
     most: int  # the weight of a shingle that no item has
     total: np.ndarray  # weight of each item
-    fingerprint: np.ndarray
+    fingerprint: np.ndarray  # a row each
     filter: np.ndarray  # bits of known shingles, by their upper bits
     shift: int
     short_ids: list  # items of fewer than LEAST_WORDS words, numbered after ids
     short: dict[int, tuple[np.ndarray, np.ndarray]]  # by their words: hashes, sorted, and numbers
 
+    def probes(self, size: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Items of size words and, for each block, where those begin whose value is a given one but for one bit, and who they are."""
+        known = self.__dict__.setdefault("_probes", {})
+        if size not in known:
+            items = np.flatnonzero(self.length == size)
+            blocks = []
+            for b in range(BLOCKS):
+                width = int(_EDGES[b + 1] - _EDGES[b])
+                values = _block(self.fingerprint[items], b)
+                near = np.concatenate([values, *(values ^ (1 << k) for k in range(width))])
+                who = np.tile(np.arange(len(items)), width + 1)
+                order = np.argsort(near, kind="stable")
+                blocks.append((np.searchsorted(near[order], np.arange((1 << width) + 1)), who[order]))
+            known[size] = items, blocks
+        return known[size]
+
     def weights(self, shingles: np.ndarray) -> np.ndarray:
         """Weights of shingles, and 0 for those that no item has."""
         maybe = np.flatnonzero(self.filter[(shingles >> np.uint64(self.shift)).astype(np.int64)])
@@ -173,7 +191,7 @@ def index(ids: list, texts: pa.Array, whole: Frequencies | None = None) -> Bench
     short_ids = [ids[r] for r in brief]
     if not keep:
         none = np.zeros(0, np.int64)
-        return Benchmark([], none, [], none.view(np.uint64), none, 0, none, none.view(np.uint64), np.zeros(1 << 12, bool), 52, short_ids, short)
+        return Benchmark([], none, [], none.view(np.uint64), none, 0, none, np.zeros((0, BITS // 64), np.uint64), np.zeros(1 << 12, bool), 52, short_ids, short)
     shingles = [np.sort(_pairs_of(w.hash[w.row[r] : w.row[r + 1]])) for r in keep]
     known, items = np.unique(np.concatenate([np.unique(s) for s in shingles]), return_counts=True)
     n = len(keep)
@@ -187,7 +205,7 @@ def index(ids: list, texts: pa.Array, whole: Frequencies | None = None) -> Bench
     bits = max(12, int(np.ceil(np.log2(len(known) * 16))))
     filter_ = np.zeros(1 << bits, bool)
     filter_[(known >> np.uint64(64 - bits)).astype(np.int64)] = True
-    sums = np.stack([(_signs(s).astype(np.int64) * weight[a][:, None]).sum(0) for s, a in zip(shingles, at, strict=True)])
+    sums = np.stack([_signs(w.hash[w.row[r] : w.row[r + 1]]).sum(0, dtype=np.int64) for r in keep])
     total = np.array([weight[a].sum() for a in at])
     return Benchmark([ids[r] for r in keep], length[keep], shingles, known, weight, int(round(1000 * np.log1p(n))), total, _fingerprint(sums), filter_, 64 - bits, short_ids, short)
 
@@ -219,8 +237,7 @@ def _hits(hashes: np.ndarray, edges: np.ndarray, bench: Benchmark, least: float)
     stop = np.repeat(edges[1:], np.diff(edges))
     found: list[tuple[np.ndarray, ...]] = []
     starts_of, ends_of, length_of = [], [], []
-    live = np.flatnonzero(np.concatenate([weight > 0, [False]]) | np.concatenate([[False], weight > 0]))
-    if not len(live):
+    if not weight.any():
         return none
     for length in np.unique(bench.length):
         need = least * bench.total[bench.length == length].min()
@@ -233,67 +250,77 @@ def _hits(hashes: np.ndarray, edges: np.ndarray, bench: Benchmark, least: float)
     if not starts_of:
         return none
     start, end, length = (np.concatenate(x) for x in (starts_of, ends_of, length_of))
+    order = np.argsort(start, kind="stable")
+    start, end, length = start[order], end[order], length[order]
     # A window's true weight needs its unknown shingles too: only now, for the windows that are left.
     full = np.where(weight > 0, weight, bench.most)
     full[~inside] = 0
     totals = np.concatenate([[0], np.cumsum(full)])
-    cover = np.zeros(n + 1, np.int64)
-    np.add.at(cover, start, 1)
-    np.add.at(cover, end - 1, -1)
-    used = np.flatnonzero(np.cumsum(cover)[: n - 1] > 0)
-    place = np.zeros(n + 1, np.int64)
-    place[used + 1] = 1
-    place = np.cumsum(place)  # used shingles before a word
-    step = 1 << 16
-    signed = np.zeros((len(used) + 1, 64), np.int32)
-    for a in range(0, len(used), step):
-        u = used[a : a + step]
-        np.cumsum(_signs(shingles[u]) * full[u][:, None].astype(np.int32), axis=0, out=signed[a + 1 : a + 1 + len(u)])
-        signed[a + 1 : a + 1 + len(u)] += signed[a]  # sums may wrap round; differences don't
-    for size in np.unique(length):
-        which = np.flatnonzero(length == size)
-        items = np.flatnonzero(bench.length == size)
-        prints = bench.fingerprint[items]
-        probes = []
-        for b in range(BLOCKS):
-            width = int(_EDGES[b + 1] - _EDGES[b])
-            values = _block(prints, b)
-            near = np.concatenate([values, *(values ^ (1 << k) for k in range(width))])
-            who = np.tile(np.arange(len(items)), width + 1)
-            order = np.argsort(near, kind="stable")
-            probes.append((np.searchsorted(near[order], np.arange((1 << width) + 1)), who[order]))
-        for a in range(0, len(which), step):
-            at = which[a : a + step]
-            s, e = start[at], end[at]
-            marks = _fingerprint(signed[place[e - 1]] - signed[place[s]])
-            pairs = []
-            for b, (first, who) in enumerate(probes):
-                value = _block(marks, b)
-                count = first[value + 1] - first[value]
-                pairs.append(np.repeat(np.arange(len(at)), count) * len(items) + who[np.repeat(first[value], count) + ragged(count)])
-            pair = np.unique(np.concatenate(pairs))
-            window, item = pair // len(items), pair % len(items)
-            close = np.bitwise_count(marks[window] ^ prints[item]) <= RADIUS
-            window, item = window[close], item[close]
-            for i in np.unique(item):
-                rows = window[item == i]
-                own, tf = np.unique(bench.shingles[items[i]], return_counts=True)
-                w_own = bench.weight[np.searchsorted(bench.known, own)]
-                span = np.minimum(s[rows][:, None] + np.arange(size - 1), n - 2)
-                there = np.arange(size - 1) < (e[rows] - s[rows] - 1)[:, None]
-                block = shingles[span]
-                pos = np.minimum(np.searchsorted(own, block), len(own) - 1)
-                hit = there & (own[pos] == block)
-                r, c = np.nonzero(hit)
-                counts = np.bincount(r * len(own) + pos[r, c], minlength=len(rows) * len(own)).reshape(len(rows), len(own))
-                both = (np.minimum(counts, tf) * w_own).sum(1)
-                total = totals[e[rows] - 1] - totals[s[rows]]
-                score = both / (bench.total[items[i]] + total - both)
-                good = score >= least
-                found.append((s[rows][good], (e[rows] - s[rows])[good], np.full(int(good.sum()), items[i]), score[good]))
+    lo = 0
+    while lo < len(start):
+        hi = int(np.searchsorted(start, start[lo] + _SPAN))
+        marks = _prints_of(hashes, start[lo:hi], end[lo:hi])
+        for size in np.unique(length[lo:hi]):
+            which = np.flatnonzero(length[lo:hi] == size)
+            for window, item in _candidates(marks[which], bench, size):
+                found += _verified(which[window] + lo, item, start, end, shingles, totals, bench, least)
+        lo = hi
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else none
 
 
+def _prints_of(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Fingerprints of windows of words."""
+    base = start[0]
+    cover = np.zeros(end.max() - base + 1, np.int64)
+    np.add.at(cover, start - base, 1)
+    np.add.at(cover, end - base, -1)
+    used = np.flatnonzero(np.cumsum(cover) > 0)
+    place = np.zeros(len(cover) + 1, np.int64)
+    place[used + 1] = 1
+    place = np.cumsum(place)  # used words before a word
+    sums = np.zeros((len(used) + 1, BITS), np.int32)
+    np.cumsum(_signs(hashes[used + base]), axis=0, dtype=np.int32, out=sums[1:])
+    return _fingerprint(sums[place[end - base]] - sums[place[start - base]])
+
+
+def _candidates(marks: np.ndarray, bench: Benchmark, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(window, item) numbers within RADIUS, some windows at a time."""
+    items, blocks = bench.probes(size)
+    step = max(1, (1 << 22) // len(items))
+    for a in range(0, len(marks), step):
+        some = marks[a : a + step]
+        pairs = []
+        for b, (first, who) in enumerate(blocks):
+            value = _block(some, b)
+            count = first[value + 1] - first[value]
+            pairs.append(np.repeat(np.arange(len(some)), count) * len(items) + who[np.repeat(first[value], count) + ragged(count)])
+        pair = np.unique(np.concatenate(pairs))
+        window, item = pair // len(items), items[pair % len(items)]
+        close = np.bitwise_count(some[window] ^ bench.fingerprint[item]).sum(1) <= RADIUS
+        yield window[close] + a, item[close]
+
+
+def _verified(window: np.ndarray, item: np.ndarray, start: np.ndarray, end: np.ndarray, shingles: np.ndarray, totals: np.ndarray, bench: Benchmark, least: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """Start word, words, item and similarity of the pairs that are similar enough."""
+    for i in np.unique(item):
+        each = window[item == i]
+        own, tf = np.unique(bench.shingles[i], return_counts=True)
+        w_own = bench.weight[np.searchsorted(bench.known, own)]
+        for a in range(0, len(each), 1 << 14):
+            s, e = start[each[a : a + (1 << 14)]], end[each[a : a + (1 << 14)]]
+            width = np.arange(bench.length[i] - 1)
+            span = np.minimum(s[:, None] + width, len(shingles) - 1)
+            block = shingles[span]
+            pos = np.minimum(np.searchsorted(own, block), len(own) - 1)
+            r, c = np.nonzero((width < (e - s - 1)[:, None]) & (own[pos] == block))
+            counts = np.bincount(r * len(own) + pos[r, c], minlength=len(s) * len(own)).reshape(len(s), len(own))
+            both = (np.minimum(counts, tf) * w_own).sum(1)
+            total = totals[e - 1] - totals[s]
+            score = both / (bench.total[i] + total - both)
+            good = score >= least
+            yield s[good], (e - s)[good], np.full(int(good.sum()), i), score[good]
+
+
 def _short_hits(hashes: np.ndarray, edges: np.ndarray, bench: Benchmark) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """What _hits gives, for the items that are matched exactly."""
     stop = np.repeat(edges[1:], np.diff(edges))
@@ -346,6 +373,9 @@ def _indexes(benchmark: DataFrame, shard: int) -> Iterator[Benchmark]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, text: str = "text", key: str = "doc_id", shard: int = SHARD) -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_words): the best window for each document and item it holds.
 
+    A document holds an item if one of its windows has a fingerprint within RADIUS bits of
+    the item's and a similarity of at least least; of those windows the best is given.
+
     Words are runs of ASCII letters and digits and of other letters, in lower case; in
     scripts without spaces, each character is a word and their punctuation separates. Of
     equally similar windows the first and then the shortest counts. A window is cut off at
@@ -354,7 +384,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARIT
     null; rows with a doc_id that repeats give a row each. Items of fewer than
     LEAST_WORDS words match only where all their words stand in a row, with similarity 1;
     even an item of one word matches wherever that word stands. Items that are null or
-    without words take no part; of items with one item_id each takes part. An empty benchmark gives an empty result. Whole texts are read.
+    without words take no part; of items with one item_id each takes part. An empty benchmark gives an empty result,
+    and so does an empty table of documents. Whole texts are read, however long.
     """
     source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()

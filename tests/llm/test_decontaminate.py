@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -5,26 +6,46 @@ import numpy as np
 import pyarrow as pa
 
 from lexmill.llm import decontaminate as dc
-from lexmill.llm._text import LOOSE, buffers, words
+from lexmill.llm._text import LOOSE, buffers, mix, words
 
 
 def hashed(text):
-    return words(*buffers(pa.array([text])), LOOSE).hash
-
-
-def brute(rows, items, least=dc.SIMILARITY):
-    bench = dc.index([i for i, _ in items], pa.array([t for _, t in items], pa.string()))
-    weight = dict(zip(bench.known.tolist(), bench.weight.tolist(), strict=True))
+    return words(*buffers(pa.array([text])), LOOSE).hash.tolist()
+
+
+def fingerprint(hashes):
+    """128 bits, each the sign of a sum over words."""
+    sums = np.zeros(128, int)
+    for h in hashes:
+        for half in (0, 1):
+            bits = int(mix(np.array([h ^ (half + 1)], np.uint64))[0])
+            sums[64 * half : 64 * half + 64] += [1 if bits >> i & 1 else -1 for i in range(64)]
+    return sum(1 << i for i, x in enumerate(sums.tolist()) if x > 0)
+
+
+def brute(rows, items, least=dc.SIMILARITY, radius=dc.RADIUS):
+    """The best window of each document and item by comparing all of them, weights, fingerprints and similarities made here."""
+    known = {i: hashed(t) for i, t in items if i is not None and t}
+    known = {i: h for i, h in known.items() if len(h) >= dc.LEAST_WORDS}
+    pairs = {i: list(zip(h, h[1:], strict=False)) for i, h in known.items()}
+    seen = Counter(p for ps in pairs.values() for p in set(ps))
+    weight = lambda p: round(1000 * math.log1p(len(known) / seen[p])) if p in seen else round(1000 * math.log1p(len(known)))
+    prints = {i: fingerprint(h) for i, h in known.items()}
     out = {}
     for doc, text in rows:
         h = hashed(text)
-        for i, item in enumerate(bench.ids):
-            size = int(bench.length[i])
+        own = list(zip(h, h[1:], strict=False))
+        for i, item in known.items():
+            size, whole = len(item), Counter(pairs[i])
+            total = sum(weight(p) * n for p, n in whole.items())
             for s in range(len(h)):
-                window = dc._pairs_of(h[s : s + size])
-                score = dc.similarity(bench.shingles[i], window, weight, bench.most)
-                if score >= least and score > out.get((doc, item), (0,))[0]:
-                    out[doc, item] = (score, s, min(size, len(h) - s))
+                inside = Counter(own[s : s + min(size, len(h) - s) - 1])
+                both = sum(weight(p) * min(n, inside[p]) for p, n in whole.items())
+                if not both:
+                    continue
+                score = both / (total + sum(weight(p) * n for p, n in inside.items()) - both)
+                if score >= least and score > out.get((doc, i), (0,))[0] and (fingerprint(h[s : s + size]) ^ prints[i]).bit_count() <= radius:
+                    out[doc, i] = (score, s, min(size, len(h) - s))
     return out
 
 
@@ -49,18 +70,15 @@ def test_equals_brute_force(spark, docs):
     rows, items = corpus(1)
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     want = brute(rows, items)
-    found = {(r.doc_id, r.item_id): r for r in dc.contaminated(docs(rows), bench).collect()}
-    assert set(found) <= set(want)
-    assert len(found) >= 0.9 * len(want)
-    exact = [k for k, v in want.items() if v[0] > 0.75]
-    assert np.mean([k in found for k in exact]) > 0.97
-    assert np.mean([abs(found[k].similarity - want[k][0]) < 1e-9 for k in found]) > 0.9
-    held = {d for d, _ in found}
+    found = {(r.doc_id, r.item_id): (r.similarity, r.start_word, r.n_words) for r in dc.contaminated(docs(rows), bench).collect()}
+    assert set(found) == set(want)
+    assert all(abs(found[k][0] - want[k][0]) < 1e-12 and found[k][1:] == want[k][1:] for k in want)
     left = {r.doc_id for r in dc.decontaminate(docs(rows), bench).collect()}
-    assert left == {d for d, _ in rows} - held
-    # A benchmark in several passes gives the same pairs but for weights, which are a pass's own.
-    split = {(r.doc_id, r.item_id) for r in dc.contaminated(docs(rows), bench, shard=7).collect()}
-    assert {k for k in exact if want[k][0] == 1} <= split
+    assert left == {d for d, _ in rows} - {d for d, _ in found}
+    # What similarity alone would find, whatever the fingerprints.
+    every = brute(rows, items, radius=128)
+    assert len(found) >= 0.9 * len(every)
+    assert np.mean([k in found for k, v in every.items() if v[0] > 0.75]) > 0.97
 
 
 def test_passes_do_not_change_results(spark, docs):
@@ -97,12 +115,16 @@ def test_short_items_and_scripts_without_spaces(spark, docs):
 
 def test_every_block_probe_is_found():
     r = np.random.default_rng(3)
-    base = r.integers(0, 2**63, 50, dtype=np.uint64)
+    base = r.integers(0, 2**63, (50, 2), dtype=np.uint64)
     for _ in range(200):
-        flips = r.choice(64, dc.RADIUS, replace=False)
-        a = base[int(r.integers(50))]
-        b = a ^ np.uint64(sum(1 << int(i) for i in flips))
-        assert any(bin(int(dc._block(np.array([a]), k)[0] ^ dc._block(np.array([b]), k)[0])).count("1") <= 1 for k in range(dc.BLOCKS))
+        a = base[int(r.integers(50))][None]
+        b = a.copy()
+        for bit in r.choice(128, dc.RADIUS, replace=False):
+            b[0, bit // 64] ^= np.uint64(1 << int(bit % 64))
+        assert any(int(dc._block(a, k)[0] ^ dc._block(b, k)[0]).bit_count() <= 1 for k in range(dc.BLOCKS))
+    other = r.integers(0, 2**63, (400, 2), dtype=np.uint64) ^ (r.integers(0, 2, (400, 2), dtype=np.uint64) << np.uint64(63))
+    pairs = [[np.bitwise_count(dc._block(base, k)[:, None] ^ dc._block(other, k)[None]) <= 1] for k in range(dc.BLOCKS)]
+    assert np.any(pairs, axis=(0, 1)).mean() < 0.11  # blocks leave out most pairs
 
 
 def test_similarity_definition():
