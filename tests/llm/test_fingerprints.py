@@ -1,9 +1,10 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from lexmill.llm import fingerprints as fp
-from lexmill.llm._text import _BASE
+from lexmill.llm._text import _BASE, buffers
 from tests.conftest import compare
 
 
@@ -27,6 +28,18 @@ def test_equals_brute_force(docs, k, window):
     assert {tuple(x) for x in rows} == want and len(rows) == len(want)
 
 
+@pytest.mark.parametrize("k, window", [(3, 4), (5, 9), (25, 76)])
+def test_long_document_in_parts(k, window):
+    r = random.Random(window)
+    texts = ["".join(r.choice("aB é日\n") for _ in range(n)) for n in (0, 3, 40, 99, 100, 101, 3000)] + [" " * 900 + "abcdefgh" * 4 + " " * 900, "a" * 700]
+    for text in texts:
+        data, offsets = buffers(pa.array([text]))
+        for limit in (1, 50, 333):
+            parts = list(fp.winnow_long(data, k, window, limit))
+            found = [(int(p), int(h) >> 1) for ps, hs in parts for p, h in zip(ps, hs, strict=True)]
+            assert len(found) == len(set(found)) and set(found) == brute(text, k, window)
+
+
 def test_match_guarantee(docs):
     r = random.Random(8)
     text = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
