@@ -195,6 +195,7 @@ def _expand(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
     def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
         anchor, content, doc, first, copies = (np.asarray(t[k].combine_chunks()) for k in ("anchor", "content", "doc_id", "first", "copies"))
+        doc = np.unique(doc, return_inverse=True)[1]  # by rank: ids may be strings
         body = t["body"].combine_chunks()
         flat, sizes = np.asarray(body.flatten()), np.asarray(body.value_lengths())
         # Repeated doc_ids can fetch one segment twice.
@@ -253,41 +254,50 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, group: int = GROUP,
     Words stand between ASCII white space, and compare exactly. Passages of one document
     that follow each other at every word and have the same is_first make one run. is_first
     tells the first occurrence, by doc_id and position, from the later ones, which a
-    deduplication would cut. Whole texts are read. A null doc_id, a null text and a text
-    of fewer than length words have no rows. A row that repeats repeats its passages; runs
-    of rows with one doc_id are merged. Other columns of docs aren't read. doc_id must be
-    an integer. An anchor with more than kinds kinds of segments, as the end of a
-    passage has that stands in very many documents, would fill one task: its passages are
-    counted one by one instead, spread by their hashes.
+    deduplication would cut. Whole texts are read, however long. A null doc_id, a null
+    text and a text of fewer than length words have no rows, nor has an empty table. A row
+    that repeats repeats its passages; runs of rows with one doc_id are merged. Other
+    columns of docs aren't read. An anchor with more than kinds kinds of segments, as the
+    end of a passage has that stands in very many documents, would fill one task: its
+    passages are counted one by one instead, spread by their hashes.
+
+    What repeats is counted before it is shuffled, and the joins that bring counts back to
+    segments can be split where one anchor has very many.
     """
-    source = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
-    segments = source.mapInArrow(lambda x: _cut(x, length, group), "anchor bigint, content bigint, doc_id bigint, first int, passages int")
-    by = Window.partitionBy("anchor")
-    equal = Window.partitionBy("anchor", "content").orderBy("doc_id", "first")
-    whole = equal.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    found = segments.withColumns({"nth": F.row_number().over(equal), "copies": F.count("*").over(whole)})
-    found = found.withColumns({"n": F.count("*").over(by), "kinds": F.sum((F.col("nth") == 1).cast("int")).over(by)})
-    found = stash(found.where("n > 1").drop("n"), "segments")
+    source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
+    kind = source.schema["doc_id"].dataType.simpleString()
+    segments = source.mapInArrow(lambda x: _cut(x, length, group), f"anchor bigint, content bigint, doc_id {kind}, first int, passages int")
+    again = segments.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    at = ["anchor", "content", "doc_id", "first"]
+    found = stash(segments.join(again, "anchor", "left_semi").groupBy(*at).agg(F.max("passages").alias("passages"), F.count("*").alias("rows")), "segments")
+    alike = found.groupBy("anchor", "content").agg(F.sum("rows").cast("int").alias("copies"), F.min(F.struct("doc_id", "first")).alias("lead"), F.max("passages").alias("passages"))
+    alike = stash(alike.select("anchor", "content", "copies", "passages", F.col("lead.doc_id").alias("lead_id"), F.col("lead.first").alias("lead_at")), "kinds")
+    count = alike.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    alike = alike.join(count, "anchor")
 
     def fetched(which: str) -> DataFrame:
         """The words of one segment of each kind, from the document that has it first."""
-        segment = F.struct("anchor", "content", "doc_id", "first", "passages", F.col("copies").cast("int").alias("copies"))
-        wanted = found.where(f"nth = 1 AND {which}").groupBy("doc_id").agg(F.collect_list(segment).alias("wanted"))
-        return source.join(wanted, "doc_id").select("text", "wanted").mapInArrow(lambda x: _fetch(x, length), "anchor bigint, content bigint, doc_id bigint, first int, copies int, body array<bigint>")
+        segment = F.struct("anchor", "content", F.col("lead_id").alias("doc_id"), F.col("lead_at").alias("first"), "passages", "copies")
+        wanted = alike.where(which).groupBy(F.col("lead_id").alias("doc_id")).agg(F.collect_list(segment).alias("wanted"))
+        return source.join(wanted, "doc_id").select("text", "wanted").mapInArrow(lambda x: _fetch(x, length), f"anchor bigint, content bigint, doc_id {kind}, first int, copies int, body array<bigint>")
 
     sorted_ = fetched(f"kinds BETWEEN 2 AND {kinds}").repartition("anchor").sortWithinPartitions("anchor")
     runs = sorted_.mapInArrow(lambda x: _expand(x, length), "anchor bigint, content bigint, a int, b int, lead boolean")
     crowded = f"kinds > {max(kinds, 1)}"
-    if not found.where(crowded).isEmpty():
-        each = fetched(crowded).mapInArrow(lambda x: _windows(x, length), "anchor bigint, content bigint, doc_id bigint, first int, copies int, a int, passage bigint")
+    if not count.where(crowded).isEmpty():
+        each = fetched(crowded).mapInArrow(lambda x: _windows(x, length), f"anchor bigint, content bigint, doc_id {kind}, first int, copies int, a int, passage bigint")
         # Repeated doc_ids can fetch one segment twice.
-        each = each.dropDuplicates(["anchor", "content", "a"])
-        same = Window.partitionBy("anchor", "passage")
-        each = each.withColumns({"total": F.sum("copies").over(same), "nth": F.row_number().over(same.orderBy("doc_id", F.col("first") + F.col("a")))}).where("total > 1")
-        runs = runs.unionByName(each.select("anchor", "content", "a", (F.col("a") + 1).alias("b"), (F.col("nth") == 1).alias("lead")))
-    mixed = found.where("kinds > 1").join(runs, ["anchor", "content"]).select("doc_id", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"), (F.col("lead") & (F.col("nth") == 1)).alias("is_first"))
-    alike = found.where("kinds = 1").select("doc_id", F.col("first").alias("a"), (F.col("first") + F.col("passages")).alias("b"), (F.col("nth") == 1).alias("is_first"))
-    spans = mixed.unionByName(alike)
+        each = stash(each.dropDuplicates(["anchor", "content", "a"]), "passages")
+        same = each.groupBy("anchor", "passage").agg(F.sum("copies").alias("total"), F.min(F.struct("doc_id", F.col("first") + F.col("a"))).alias("lead")).where("total > 1")
+        each = each.join(same, ["anchor", "passage"]).withColumn("lead", F.col("lead") == F.struct("doc_id", F.col("first") + F.col("a")))
+        runs = runs.unionByName(each.select("anchor", "content", "a", (F.col("a") + 1).alias("b"), "lead"))
+    leads = alike.select("anchor", "content", "lead_id", "lead_at")
+    whole = alike.where("kinds = 1").select("anchor", "content", F.lit(0).alias("a"), F.col("passages").alias("b"), F.lit(True).alias("lead"), "lead_id", "lead_at")
+    runs = runs.join(leads, ["anchor", "content"]).unionByName(whole)
+    here = F.col("lead") & (F.col("doc_id") == F.col("lead_id")) & (F.col("first") == F.col("lead_at"))
+    # Of rows that repeat, only one is the first.
+    firsts = F.when(here & (F.col("rows") > 1), F.array(F.lit(True), F.lit(False))).otherwise(F.array(here))
+    spans = found.join(runs, ["anchor", "content"]).select("doc_id", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"), F.explode(firsts).alias("is_first"))
     order = Window.partitionBy("doc_id", "is_first").orderBy("a", "b")
     before = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("a") <= F.col("before"), 0).otherwise(1)).over(order)
