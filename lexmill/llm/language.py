@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm._text import buffers, fresh, slices, table
+from lexmill.llm._text import buffers, fresh, slices, table, thinned
 
 #: Hashed features; bytes of the longest n-gram; rows that are counted together.
 WIDTH, LONGEST, ROWS = 4096, 3, 256
+#: Bytes of a document that are counted at once.
+PART = 1 << 20
 UNKNOWN = "und"
 
 
@@ -27,27 +30,52 @@ def _folded() -> np.ndarray:
 _FOLD = _folded()
 
 
-def _counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Counts of hashed byte n-grams of letters, a row each; what isn't a letter is a space."""
-    rows = len(offsets) - 1
+def _letters(data: np.ndarray) -> np.ndarray:
+    """Bytes of letters in lower case; what isn't a letter is a space."""
     body = _FOLD[data]
     if len(body) > 1:  # capital letters of the two-byte Latin range
         body[1:] += np.where((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97), 32, 0).astype(np.uint8)
-    size = np.diff(offsets)
-    base = (np.repeat(np.arange(rows), size) * WIDTH).astype(np.int64)
-    left = np.repeat(offsets[1:], size) - np.arange(len(body))
+    return body
+
+
+def _grams(body: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each n, the hashed features of the n-grams that begin at each byte, and which of them hold a letter."""
     code = body.astype(np.uint32)
-    out, gram, blank = np.zeros(rows * WIDTH), code.copy(), body == 32
+    gram, blank = code.copy(), body == 32
     for n in range(1, LONGEST + 1):
         if n > 1:
             gram = gram[:-1] * np.uint32(257) + code[n - 1 :] if len(gram) > 1 else gram[:0]
             blank = blank[:-1] & (body[n - 1 :] == 32) if len(blank) > 1 else blank[:0]
-        at = ((gram * np.uint32(0x9E3779B1) + np.uint32(n)) >> np.uint32(32 - 12)).astype(np.int64)
-        fits = (left[: len(at)] >= n) & ~blank
+        yield n, ((gram * np.uint32(0x9E3779B1) + np.uint32(n)) >> np.uint32(32 - 12)).astype(np.int64), ~blank
+
+
+def _counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Counts of hashed byte n-grams of letters, a row each."""
+    rows = len(offsets) - 1
+    if rows == 1 and len(data) > PART:
+        return _counts_long(data)
+    size = np.diff(offsets)
+    base = (np.repeat(np.arange(rows), size) * WIDTH).astype(np.int64)
+    left = np.repeat(offsets[1:], size) - np.arange(len(data))
+    out = np.zeros(rows * WIDTH)
+    for n, at, some in _grams(_letters(data)):
+        fits = (left[: len(at)] >= n) & some
         out += np.bincount(base[: len(at)][fits] + at[fits], minlength=rows * WIDTH)
     return out.reshape(rows, WIDTH)
 
 
+def _counts_long(data: np.ndarray, part: int | None = None) -> np.ndarray:
+    """The counts of one document, a part at a time; each part counts the n-grams that begin in it."""
+    part = part or PART
+    out = np.zeros(WIDTH)
+    for lo in range(0, len(data), part):
+        a = max(lo - 1, 0)  # a letter may depend on the byte before
+        body = _letters(data[a : lo + part + LONGEST - 1])[lo - a :]
+        for _, at, some in _grams(body):
+            out += np.bincount(at[:part][some[:part]], minlength=WIDTH)
+    return out[None]
+
+
 def _blocks(texts: pa.Array):
     data, offsets = buffers(texts)
     for a, b in slices(offsets, 1 << 19):
@@ -120,11 +148,14 @@ def fit(texts: pa.Array, langs: list[str], *, clusters: int = 4, slack: float =
 
 
 def train(spark: SparkSession, sf_dir: str, *, bound: int = 3000, **settings: float) -> LanguageModel:
-    """Fit on at most bound documents with a lang, picked by a hash of doc_id."""
-    docs = spark.read.parquet(table(sf_dir, "documents")).where("text IS NOT NULL AND lang IS NOT NULL")
-    picked = docs.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    # The sample is bounded by a parameter, so broadcasting it is safe at any size.
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    """Fit on at most bound rows with a text and a lang, those of the least hashes of doc_id and text.
+
+    Rows are thinned by their hashes before they are sorted, to about twice the bound, so
+    that what is gathered has a bound at any size, also where one row repeats.
+    """
+    docs = spark.read.parquet(table(sf_dir, "documents")).where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
+    some = thinned(docs, docs.count(), bound, F.xxhash64("doc_id", "text"))
+    rows = some.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text", "lang").limit(bound).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     if not len(rows):
         return LanguageModel(np.ones(WIDTH), np.zeros((1, WIDTH)), np.zeros(1, np.int64), [UNKNOWN], np.ones(1))
     return fit(rows["text"].combine_chunks(), rows["lang"].to_pylist(), **settings)
@@ -146,8 +177,9 @@ def language(text: Column, model: LanguageModel) -> Column:
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """docs with language and cosine (with underscores where docs has such names).
 
-    Whole texts are read. A null text, an empty one and one without letters get und and a
-    null cosine; equal texts get equal answers; an empty table stays empty.
+    Whole texts are read, however long. A null text, an empty one and one without letters
+    get und and a null cosine; equal texts get equal answers, and of languages with equal
+    cosines (to nine places) the first by name; an empty table stays empty.
     """
     tmp = fresh(docs, "found")
     out = docs.withColumn(tmp, language(F.col(text), model))

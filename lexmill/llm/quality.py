@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm._text import LOOSE, Words, buffers, fresh, slices, table
+from lexmill.llm._text import LOOSE, Words, buffers, fresh, slices, table, thinned, words
 
 _STOP = (
     "the of and to in is that for it was on as with by at an be this from are or which he not "
@@ -41,13 +41,19 @@ def _stop_hashes() -> np.ndarray:
     return np.unique(Words(*buffers(texts), LOOSE).hash)
 
 
+#: Bytes of a document that are counted at once.
+_PART = 1 << 22
+
+
 def _features(data: np.ndarray, offsets: np.ndarray, stops: np.ndarray) -> np.ndarray:
     rows = len(offsets) - 1
     size = np.diff(offsets)
-    of = np.repeat(np.arange(rows), size)
     k = len(_CLASSES)
-    counts = np.bincount(of * k + _CLASS[data], minlength=rows * k).reshape(rows, k).astype(np.float64)
-    w = Words(data, offsets, LOOSE)
+    if rows == 1:  # perhaps a very long one
+        counts = sum((np.bincount(_CLASS[data[a : a + _PART]], minlength=k) for a in range(0, len(data), _PART)), np.zeros(k, np.int64))[None].astype(np.float64)
+    else:
+        counts = np.bincount(np.repeat(np.arange(rows), size) * k + _CLASS[data], minlength=rows * k).reshape(rows, k).astype(np.float64)
+    w = words(data, offsets, LOOSE)
     n = np.diff(w.row)
     row = w.rows()
     per = lambda x: np.bincount(row, weights=x, minlength=rows)
@@ -162,9 +168,14 @@ class QualityModel:
 
 
 def sample_labels(spark: SparkSession, sf_dir: str, bound: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and quality of at most bound labelled documents, picked by a hash of doc_id."""
-    labels = spark.read.parquet(table(sf_dir, "labels")).select("doc_id", F.col("quality").cast("double").alias("y"))
-    picked = labels.dropna().dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    """Features and quality of at most bound labelled documents, picked by a hash of doc_id.
+
+    Of labels with one doc_id the least counts, and so do the least features of documents
+    with one doc_id.
+    """
+    labels = spark.read.parquet(table(sf_dir, "labels")).select("doc_id", F.col("quality").cast("double").alias("y")).dropna()
+    some = thinned(labels, labels.count(), bound, F.xxhash64("doc_id")).groupBy("doc_id").agg(F.min("y").alias("y"))
+    picked = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     docs = spark.read.parquet(table(sf_dir, "documents")).select("doc_id", "text").where(F.col("text").isNotNull())
 
     @F.arrow_udf("array<double>")
@@ -173,7 +184,8 @@ def sample_labels(spark: SparkSession, sf_dir: str, bound: int) -> tuple[np.ndar
         return pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
 
     # The sample is bounded by a parameter, so broadcasting it is safe at any size.
-    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "y", measured("text").alias("x")).toArrow().sort_by("doc_id")
+    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "y", measured("text").alias("x"))
+    rows = rows.groupBy("doc_id", "y").agg(F.min("x").alias("x")).toArrow().sort_by("doc_id")
     x = np.array(rows["x"].combine_chunks().flatten() if len(rows) else [], float).reshape(-1, len(FEATURES))
     return x, np.array(rows["y"], float)
 
