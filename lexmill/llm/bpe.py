@@ -27,8 +27,8 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 _NONE = np.int32(2**31 - 1)
 #: Bytes up to which a word is short: its ranks are scanned. A longer one keeps them in a heap.
 SHORT = 48
-#: Words that a worker remembers before it starts afresh.
-REMEMBERED = 250_000
+#: Words, and characters of words, that a worker remembers before it starts afresh.
+REMEMBERED, REMEMBERED_CHARACTERS = 250_000, 1 << 23
 
 
 class _Numbered(dict):
@@ -75,7 +75,7 @@ class Bpe:
         self.ids = np.zeros(1 << 16, np.int32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.lengths = np.zeros(1 << 14, np.int64)
-        self.filled = 0
+        self.filled = self.characters = 0
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -156,6 +156,7 @@ class Bpe:
 
     def _learn(self, new: list[str], base: int) -> None:
         raw = [w.encode() for w in new]
+        self.characters += sum(map(len, new))
         found: list[np.ndarray | None] = [None] * len(new)
         by_length: dict[int, list[int]] = {}
         lengths = np.zeros(len(new), np.int64)
@@ -192,7 +193,7 @@ class Bpe:
 
     def words(self, texts: list[str]) -> tuple[list[list[str]], list[np.ndarray]]:
         """The words of each text, and their numbers; what is new among them is encoded all at once."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.characters > REMEMBERED_CHARACTERS:
             self._forget()
         base, number = len(self.known), self.known.__getitem__
         found, numbers = [], []
@@ -286,7 +287,8 @@ def encode(docs: DataFrame, path: str = VOCABULARY, text: str = "text") -> DataF
     """docs with token_ids, n_tokens and round_trip: whether decoding gives the text back.
 
     Whole texts are encoded, however long. A null text has nulls, the empty one no ids.
-    Repeated rows have the same ids; names that docs has already get underscores.
+    Repeated rows have the same ids; an empty table stays empty; names that docs has
+    already get underscores.
     """
     tmp = fresh(docs, "bpe")
     out = docs.withColumn(tmp, encoded(F.col(text), path))

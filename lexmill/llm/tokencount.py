@@ -98,7 +98,7 @@ def token_counts(docs: DataFrame, path: str = VOCABULARY, chunk: int = CHUNK, ov
     The count is that of the whole text in one piece. Texts of more than chunk characters
     are cut, and their chunks are encoded apart from each other. A null text has null
     counts, the empty one 0 tokens in 1 chunk. A null doc_id stays null; repeated rows
-    have a row each. Other columns aren't read.
+    have a row each; an empty table gives none. Other columns aren't read.
     """
     source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
@@ -130,7 +130,10 @@ def token_counts(docs: DataFrame, path: str = VOCABULARY, chunk: int = CHUNK, ov
         bodies = group["body"].to_pylist()
         after = [*begin[1:], begin[-1] + len(bodies[-1])]
         body = "".join(b[: e - a] for a, e, b in zip(begin, after, bodies, strict=True))
-        parts = [(a, a + len(b), np.array(s, np.int64) + a, np.array(c, np.int64)) for a, b, s, c in zip(begin, bodies, group["starts"].to_pylist(), group["counts"].to_pylist(), strict=True)]
+        lists = group["starts"].combine_chunks()
+        starts, counts = (np.asarray(group[k].combine_chunks().flatten(), np.int64) for k in ("starts", "counts"))
+        edge = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
+        parts = [(a, a + len(b), starts[i:j] + a, counts[i:j]) for a, b, i, j in zip(begin, bodies, edge[:-1], edge[1:], strict=True)]
         total, _ = splice(vocabulary(path), body, parts, overlap)
         return pa.table({"doc_id": group["doc_id"][:1], "n_tokens": pa.array([total], pa.int32()), "n_chunks": pa.array([len(parts)], pa.int32())})
 
