@@ -1,4 +1,7 @@
-"""A corpus made ready for training: quality, near duplicates, benchmark passages, personal data, tokens."""
+"""A corpus made ready for training: quality, near duplicates, benchmark passages, personal data, tokens.
+
+Every stage but the last gives the columns that it got, and an empty table for an empty one.
+"""
 
 from __future__ import annotations
 
@@ -10,22 +13,39 @@ from lexmill.llm._text import fresh, stash, table
 
 
 def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps. It is fitted on the labelled documents of sf_dir."""
+    """Documents that the quality classifier keeps. It is fitted on the labelled documents of sf_dir.
+
+    A null text, an empty one and one without words go; nulls in other columns don't
+    matter. Rows that repeat are judged alike. Long texts are judged whole.
+    """
     return quality.keep_good(docs, quality.train(spark, sf_dir))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the least doc_id."""
+    """One document of each group of near duplicates, that with the least doc_id.
+
+    Rows with a null doc_id, a null text or no words are in no group and stay. Of rows that
+    repeat one stays. Long texts are compared whole.
+    """
     return neardup.deduplicate(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark of sf_dir."""
+    """Documents that hold no item of the benchmark of sf_dir.
+
+    Null and empty texts stay; rows that repeat are judged alike; long texts are searched
+    whole; an empty benchmark removes nothing.
+    """
     return decontaminate.decontaminate(docs, spark.read.parquet(table(sf_dir, "benchmark")))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data and secrets replaced by their kinds; n_chars, if there, follows."""
+    """Documents with personal data and secrets replaced by their kinds; n_chars, if there, follows.
+
+    Null and empty texts stay as they are, and n_chars changes only where the text does,
+    and stays null elsewhere. Rows that repeat are redacted alike; long texts
+    are searched whole.
+    """
     spans = fresh(docs, "pii_spans")
     out = pii.redact(docs)
     if "n_chars" in docs.columns:
@@ -35,7 +55,11 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, token_ids, n_tokens and round_trip of each document."""
+    """doc_id, token_ids, n_tokens and round_trip of each document.
+
+    A null text has nulls, an empty one no tokens; a null doc_id stays null; rows that
+    repeat have a row each. Long texts are encoded whole.
+    """
     out = bpe.encode(docs.select("doc_id", "text"))
     return out.select("doc_id", "token_ids", "n_tokens", "round_trip")
 
@@ -53,7 +77,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir, each one's result written and read again by the next."""
+    """All stages over the documents of sf_dir, each one's result written and read again by the next.
+
+    An empty table gives an empty result. Columns beside doc_id and text may hold anything
+    and have any names; those that operators use inside get others.
+    """
     docs = spark.read.parquet(table(sf_dir, "documents"))
     for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
