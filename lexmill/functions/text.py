@@ -17,9 +17,13 @@ KEYWORDS = tuple(
 )
 
 
+#: Unicode white space.
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    """Without Unicode white space at either end; trim() would remove spaces only."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+", ""), r"(?U)(?<!\s)\s+$|^\s+$", "")
+    """Without Unicode white space at either end."""
+    return F.btrim(c, F.lit(_WHITE))
 
 
 def clean_text(c: Column) -> Column:

@@ -27,7 +27,7 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     contents = d % 3 == 0
     text = (
         F.when(contents & (i == 0), "TABLE OF CONTENTS")
-        .when(contents & i.isin(1, 2, 3), lead("Chapter ", i.cast("string"), ". ", F.substring(line, 1, 12), " ........ ", (i * 7).cast("string")))
+        .when(contents & i.isin(1, 2, 3), lead("Chapter ", i.cast("string"), ". ", line, " ........ ", (i * 7).cast("string")))
         .when(m == 0, lead("Chapter ", k, ". ", line))
         .when(m == 1, lead(F.substring(line, 1, 10), "\u00a0", F.substr(line, F.lit(11)), " • item; next"))
         .when(m == 2, lead("Sub-chapter ", k, ".1 ", line))
@@ -56,9 +56,9 @@ def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, content, headers, page, embedding): documents that have an embedding, with references added."""
+    """(id, content, headers, page, embedding): all documents, with references added; where there is no embedding, it is null."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    rows = documents(spark, sf_dir).join(vectors, F.col("doc_id") == F.col("vec_id"))
+    rows = documents(spark, sf_dir).join(vectors, F.col("doc_id") == F.col("vec_id"), "left")
     n = F.col("doc_id")
     content = F.concat(F.col("text"), F.lit("\nsee Article "), (n % 9).cast("string"), F.lit(" and Section "), (n % 13).cast("string"), F.lit("; CSSF Regulation 12-"), (n % 7).cast("string"))
     headers = F.when(n % 4 == 0, "").otherwise(F.concat(F.lit("Section "), (n % 20).cast("string")))
@@ -66,8 +66,8 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, query, embedding) made from the first chunks."""
-    rows = chunks(spark, sf_dir).where("id < 10")
+    """(query_id, query, embedding) made from every chunk whose id is divisible by 20."""
+    rows = chunks(spark, sf_dir).where("id % 20 = 0")
     words = F.concat_ws(" ", F.slice(F.split(F.split("content", "\n")[0], " "), 1, 4))
     topic = F.when(F.col("id") % 2 == 0, " requirements of").otherwise(" rule in")
     query = F.concat(F.lit("What is the"), topic, F.lit(" article "), (F.col("id") % 9).cast("string"), F.lit(" with section 12 "), words)
@@ -94,7 +94,7 @@ BLOCKS_SQL = f"""lines AS (
     792.0::DOUBLE AS height,
     CASE
       WHEN doc_id % 3 = 0 AND block_idx = 0 THEN 'TABLE OF CONTENTS'
-      WHEN doc_id % 3 = 0 AND block_idx IN (1, 2, 3) THEN 'Chapter ' || block_idx || '. ' || substr(line, 1, 12) || ' ........ ' || (block_idx * 7)
+      WHEN doc_id % 3 = 0 AND block_idx IN (1, 2, 3) THEN 'Chapter ' || block_idx || '. ' || line || ' ........ ' || (block_idx * 7)
       WHEN (block_idx + doc_id) % 12 = 0 THEN 'Chapter ' || (block_idx // 3 + 1) || '. ' || line
       WHEN (block_idx + doc_id) % 12 = 1 THEN substr(line, 1, 10) || chr(160) || substr(line, 11) || ' • item; next'
       WHEN (block_idx + doc_id) % 12 = 2 THEN 'Sub-chapter ' || (block_idx // 3 + 1) || '.1 ' || line
@@ -116,9 +116,9 @@ JOINED_SQL = BLOCKS_SQL + """, joined AS (
 CHUNKS_SQL = """chunks AS (
   SELECT doc_id AS id, text || chr(10) || 'see Article ' || (doc_id % 9) || ' and Section ' || (doc_id % 13) || '; CSSF Regulation 12-' || (doc_id % 7) AS content,
     CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'Section ' || (doc_id % 20) END AS headers, (doc_id % 50 + 1)::INT AS page, embedding::DOUBLE[] AS embedding
-  FROM documents JOIN embeddings ON doc_id = vec_id WHERE text IS NOT NULL
+  FROM documents LEFT JOIN embeddings ON doc_id = vec_id WHERE text IS NOT NULL
 ), queries AS (
   SELECT id AS query_id, 'What is the' || CASE WHEN id % 2 = 0 THEN ' requirements of' ELSE ' rule in' END || ' article ' || (id % 9) || ' with section 12 '
     || array_to_string(string_split(string_split(content, chr(10))[1], ' ')[1:4], ' ') AS query, embedding AS q_embedding
-  FROM chunks WHERE id < 10
+  FROM chunks WHERE id % 20 = 0
 )"""

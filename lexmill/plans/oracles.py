@@ -126,7 +126,7 @@ HITS = CHUNKS_SQL + f""", {_TERMS}, scored AS (
   SELECT query_id, query, id, content, headers, page, round(list_cosine_similarity(embedding, q_embedding)
     + 0.1 * len(list_filter(list_concat(numbers, words), lambda t: contains(lower(content), t)))
     + 0.5 * len(list_filter(numbers, lambda t: contains(lower(content), t))) + 0.7 * len(list_filter(refs, lambda t: contains(lower(content), t))), 6) AS score
-  FROM chunks CROSS JOIN terms
+  FROM chunks CROSS JOIN terms WHERE embedding IS NOT NULL AND q_embedding IS NOT NULL
 ), hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 5)"""
 CONTEXT = HITS + """, firsts AS (SELECT query_id, headers, min(rank) AS rank FROM hits WHERE headers <> '' GROUP BY query_id, headers),
 more AS (
@@ -152,7 +152,7 @@ bm AS (
   SELECT query_id, id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * n / mean))), 6) AS score
   FROM tf JOIN df USING (word) JOIN asked USING (word) CROSS JOIN sizes GROUP BY query_id, id
 )"""
-NEAR = CHUNKS_SQL + ", near AS (SELECT query_id, id, round(list_cosine_similarity(embedding, q_embedding), 6) AS score FROM chunks CROSS JOIN queries)"
+NEAR = CHUNKS_SQL + ", near AS (SELECT query_id, id, round(list_cosine_similarity(embedding, q_embedding), 6) AS score FROM chunks CROSS JOIN queries WHERE embedding IS NOT NULL AND q_embedding IS NOT NULL)"
 
 
 def _packed(pieces: str, sep: str, size: int, most: int) -> str:
@@ -258,19 +258,19 @@ ORACLE_SQL = {
     "overlap_prefix": f"WITH {BLOCKS_SQL}, o AS (SELECT doc_id, block_idx, text, floor(length(text) * 0.15)::INT AS n, lag(text) OVER w AS prev, lag('chunk_' || block_idx || '_' || page) OVER w AS prev_id FROM blocks WINDOW w AS (PARTITION BY doc_id ORDER BY block_idx)), p AS (SELECT doc_id, block_idx AS chunk_idx, CASE WHEN length(prev) > n THEN CASE WHEN n = 0 THEN prev ELSE right(prev, n) END || chr(10) || text ELSE text END AS content, CASE WHEN length(prev) > n THEN prev_id ELSE '' END AS overlap_with FROM o) SELECT * FROM p WHERE length(content) >= 200",
     "embed_text": f"WITH {CHUNKS_SQL} SELECT id, CASE WHEN headers <> '' THEN headers || chr(10) || chr(10) || content ELSE content END AS embedding_text, {_preview('content')} AS preview FROM chunks",
     "query_terms": f"WITH {CHUNKS_SQL}, {_TERMS} SELECT query_id, query, array_to_string(list_concat(numbers, words), '|') AS terms, array_to_string(numbers, '|') AS numbers, array_to_string(refs, '|') AS refs, regexp_matches(lower(query), 'compliance officer|appointment|requirements') AS officers FROM terms",
-    "cosine_topk": f"WITH {NEAR} SELECT id, score FROM near WHERE query_id = 3 ORDER BY score DESC, id LIMIT 10",
+    "cosine_topk": f"WITH {NEAR} SELECT id, score FROM near WHERE query_id = 20 ORDER BY score DESC, id LIMIT 10",
     "batch_topk": f"WITH {NEAR} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank, id, score FROM near QUALIFY rank <= 5",
     "boosted_topk": f"WITH {HITS} SELECT query_id, rank::INT AS rank, id, score FROM hits",
     "bm25_scores": f"WITH {BM25} SELECT query_id, id, score FROM bm",
-    "hybrid_search": f"WITH {BM25}, near AS (SELECT query_id, id, round(list_cosine_similarity(embedding, q_embedding), 6) AS score FROM chunks CROSS JOIN queries), ranked AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM near QUALIFY r <= 50 UNION ALL SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM bm QUALIFY r <= 50), fused AS (SELECT query_id, id, round(sum(1 / (60 + r)), 9) AS score FROM ranked GROUP BY query_id, id) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank, id, score FROM fused QUALIFY rank <= 5",
+    "hybrid_search": f"WITH {BM25}, near AS (SELECT query_id, id, round(list_cosine_similarity(embedding, q_embedding), 6) AS score FROM chunks CROSS JOIN queries WHERE embedding IS NOT NULL AND q_embedding IS NOT NULL), ranked AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM near QUALIFY r <= 50 UNION ALL SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM bm QUALIFY r <= 50), fused AS (SELECT query_id, id, round(sum(1 / (60 + r)), 9) AS score FROM ranked GROUP BY query_id, id) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank, id, score FROM fused QUALIFY rank <= 5",
     "related_context": f"WITH {CONTEXT} SELECT query_id, context FROM contexts",
     "prompt_build": _prompt_sql(),
     "answer_sources": f"WITH {CONTEXT}, a AS (SELECT query_id, string_agg(id || ':' || page || ':' || headers, '|' ORDER BY rank) AS sources, {_references('string_agg(content, chr(10) || chr(10) ORDER BY rank)')} AS r, count(*) / 5 AS confidence FROM hits GROUP BY query_id) SELECT a.query_id, {_preview('context')} AS answer, sources, array_to_string(r, '|') AS refs, confidence FROM a JOIN contexts c ON c.query_id = a.query_id",
-    "quality_score": r"WITH odd AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN text || ' ﬁ ﬂ' WHEN doc_id % 7 = 0 THEN substr(text, 1, 120) ELSE text END AS t FROM documents WHERE text IS NOT NULL) SELECT doc_id, round(CASE WHEN t = '' THEN 0.0::DOUBLE WHEN length(t) < 100 THEN 0.1 WHEN len(list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> '')) < 50 THEN 0.3 ELSE greatest(0.1, 1.0 - 0.1 * len(list_filter(['�', '□', '▢', 'ﬀ', 'ﬁ', 'ﬂ'], lambda a: contains(t, a)))) END, 4)::DOUBLE AS score FROM odd",
+    "quality_score": r"WITH odd AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN text || ' ﬁ ﬂ' ELSE text END AS t FROM documents WHERE text IS NOT NULL) SELECT doc_id, round(CASE WHEN t = '' THEN 0.0::DOUBLE WHEN length(t) < 100 THEN 0.1 WHEN len(list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> '')) < 50 THEN 0.3 ELSE greatest(0.1, 1.0 - 0.1 * len(list_filter(['�', '□', '▢', 'ﬀ', 'ﬁ', 'ﬂ'], lambda a: contains(t, a)))) END, 4)::DOUBLE AS score FROM odd",
     "engine_route": "SELECT CASE WHEN length(text) * 5000 < 1000000 THEN 'pymupdf,unstructured,pdfminer' WHEN length(text) * 5000 > 10000000 THEN 'azure_document_intelligence,unstructured,pymupdf' ELSE 'pymupdf,unstructured,pdfminer,azure_document_intelligence' END AS engines, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "polygon_bbox": f"WITH {BLOCKS_SQL} SELECT doc_id, block_idx, CASE WHEN block_idx % 5 > 0 THEN 72.0 ELSE 0 END::DOUBLE AS x0, CASE WHEN block_idx % 5 > 0 THEN y0 ELSE 0 END AS y0, CASE WHEN block_idx % 5 > 0 THEN 540.0 ELSE 0 END::DOUBLE AS x1, CASE WHEN block_idx % 5 > 0 THEN y1 ELSE 0 END AS y1 FROM blocks",
     "page_runs": f"WITH {BLOCKS_SQL}, e AS (SELECT doc_id, block_idx, text, coalesce(last_value(CASE WHEN block_idx % 3 = 0 THEN page END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY block_idx ROWS UNBOUNDED PRECEDING), 1) AS p FROM blocks) SELECT doc_id, (dense_rank() OVER (PARTITION BY doc_id ORDER BY p)) AS page_no, string_agg(text, chr(10) ORDER BY block_idx) AS text FROM e GROUP BY doc_id, p",
-    "index_stats": f"WITH {CHUNKS_SQL} SELECT count(*) AS total_documents FROM chunks",
+    "index_stats": f"WITH {CHUNKS_SQL} SELECT count(*) AS total_documents FROM chunks WHERE embedding IS NOT NULL",
     "index_filter": f"WITH {CHUNKS_SQL} SELECT id, page, headers FROM chunks WHERE page BETWEEN 10 AND 19 AND headers <> ''",
     "dotted_lines": f"WITH {DOCUMENTS_SQL} SELECT doc_id, {_dotted('''('....... -' || chr(10) || text || chr(10) || ' . - _ • .' || chr(10) || 'end')''')} AS text FROM docs",
     "ws_normalize": f"WITH {DOCUMENTS_SQL} SELECT doc_id, {_spaces('''(' ' || chr(9) || ' ' || replace(text, chr(10), chr(10) || chr(10) || chr(10) || ' ' || chr(9)) || '  ')''')} AS text FROM docs",

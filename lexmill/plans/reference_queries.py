@@ -192,7 +192,7 @@ def query_terms(spark: SparkSession, d: str) -> DataFrame:
 @query
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     # The query's own vector is one row.
-    vector = fx.queries(spark, d).where("query_id = 3").first()["embedding"]
+    vector = fx.queries(spark, d).where("query_id = 20").first()["embedding"]
     return R.top_cosine(fx.chunks(spark, d), vector, 10)
 
 
@@ -219,13 +219,13 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
 @query
 def related_context(spark: SparkSession, d: str) -> DataFrame:
     chunks = fx.chunks(spark, d)
-    return R.contexts(R.search(chunks, fx.queries(spark, d)), chunks)
+    return R.contexts(R.search(chunks, fx.queries(spark, d)), chunks, k=5)
 
 
 @query
 def prompt_build(spark: SparkSession, d: str) -> DataFrame:
     chunks, asked = fx.chunks(spark, d), fx.queries(spark, d)
-    rows = R.prompts(asked, R.contexts(R.search(chunks, asked), chunks))
+    rows = R.prompts(asked, R.contexts(R.search(chunks, asked), chunks, k=5))
     return rows.select("query_id", F.posexplode("messages").alias("n", "m")).select("query_id", "n", "m.role", "m.content")
 
 
@@ -238,7 +238,7 @@ def answer_sources(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def quality_score(spark: SparkSession, d: str) -> DataFrame:
-    odd = F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit(" ﬁ ﬂ"))).when(F.col("doc_id") % 7 == 0, F.substring("text", 1, 120)).otherwise(F.col("text"))
+    odd = F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit(" ﬁ ﬂ"))).otherwise(F.col("text"))
     return fx.documents(spark, d).select("doc_id", F.round(T.quality_score(odd), 4).alias("score"))
 
 
