@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm._text import _BASE, _INVERSE, buffers, powers, prefix, ragged, slices, sliding_min, table
+from lexmill.llm._text import _BASE, buffers, powers, prefix, ragged, slices, sliding_min, table
 
 #: Characters of a k-gram, and k-grams of a window: equal runs of K + WINDOW - 1
 #: characters always share a fingerprint, and runs shorter than K never do.
@@ -130,31 +130,28 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle(k: int = K, window: int = WINDOW) -> str:
-    """The same rows in DuckDB: hashes are differences of prefix sums of code points times powers, modulo 2**64."""
-    whole = "18446744073709551616"
-
-    def power(base: int) -> str:
-        far = pow(base, 1024, 1 << 64)
-        times = lambda c: f"p * {c}::UHUGEINT % {whole}::UHUGEINT"
-        return f"(WITH RECURSIVE a(i, p) AS (SELECT 0, 1::UHUGEINT UNION ALL SELECT i + 1, {times(base)} FROM a WHERE i < 1023), b(i, p) AS (SELECT 0, 1::UHUGEINT UNION ALL SELECT i + 1, {times(far)} FROM b WHERE i <= (SELECT max(length(text)) FROM documents) // 1024) SELECT b.i * 1024 + a.i AS g, a.p * b.p % {whole}::UHUGEINT AS p FROM a, b)"
-
+    """The same rows in DuckDB: hashes are sums of code points times powers, modulo 2**64, in two halves of 32 bits."""
+    powers_ = [pow(_BASE, i, 1 << 64) for i in range(k)]
+    leads = "".join(f", lead(code, {i}) OVER grams AS c{i}" for i in range(1, k))
+    low = " + ".join(f"c{i} * {p & 0xFFFFFFFF}::BIGINT" for i, p in enumerate(powers_))
+    high = " + ".join(f"c{i} * {p >> 32}::BIGINT" for i, p in enumerate(powers_))
     return f"""
-WITH up AS MATERIALIZED {power(_BASE)}, down AS MATERIALIZED {power(_INVERSE)}, chars AS (
+WITH chars AS (
   SELECT doc_id, unnest(range(length(text))) AS position, unnest(string_split(text, '')) AS c FROM documents WHERE length(text) > 0
 ), codes AS (
-  SELECT doc_id, position, CASE WHEN unicode(c) BETWEEN 65 AND 90 THEN unicode(c) + 32 ELSE unicode(c) END AS code,
-         row_number() OVER (PARTITION BY doc_id ORDER BY position) - 1 AS g
+  SELECT doc_id, position, (CASE WHEN unicode(c) BETWEEN 65 AND 90 THEN unicode(c) + 32 ELSE unicode(c) END)::INTEGER AS code
   FROM chars WHERE c NOT IN (' ', chr(9), chr(10), chr(11), chr(12), chr(13))
-), summed AS (
-  SELECT doc_id, position, g, sum((code::UHUGEINT * p % {whole}::UHUGEINT)::HUGEINT) OVER (PARTITION BY doc_id ORDER BY g ROWS BETWEEN CURRENT ROW AND {k - 1} FOLLOWING) AS s,
-         count(*) OVER (PARTITION BY doc_id) - {k - 1} AS n
-  FROM codes JOIN up USING (g)
-), hashed AS (
-  SELECT doc_id, position, g, n, ((s % {whole}::HUGEINT)::UHUGEINT * p % {whole}::UHUGEINT)::UBIGINT AS h FROM summed JOIN down USING (g) WHERE g < n
+), led AS (
+  SELECT doc_id, position, code AS c0{leads}, row_number() OVER grams AS g, count(*) OVER (PARTITION BY doc_id) - {k - 1} AS n
+  FROM codes WINDOW grams AS (PARTITION BY doc_id ORDER BY position)
+), halves AS (
+  SELECT doc_id, position, g, n, {low} AS low, {high} AS high FROM led WHERE g <= n
+), keyed AS (
+  SELECT doc_id, position, g, n, low & 4294967295 AS low, (high + (low >> 32)) & 4294967295 AS high FROM halves
 ), lows AS (
-  SELECT doc_id, g, n, min((h >> 32 << 32) + (4294967295 - g)::UBIGINT) OVER (PARTITION BY doc_id ORDER BY g ROWS BETWEEN CURRENT ROW AND {window - 1} FOLLOWING) AS low FROM hashed
+  SELECT doc_id, g, n, min((high::UBIGINT << 32) + (4294967295 - g)::UBIGINT) OVER (PARTITION BY doc_id ORDER BY g ROWS BETWEEN CURRENT ROW AND {window - 1} FOLLOWING) AS least FROM keyed
 ), picked AS (
-  SELECT DISTINCT doc_id, 4294967295 - (low & 4294967295)::BIGINT AS g FROM lows WHERE g = 0 OR g <= n - {window}
+  SELECT DISTINCT doc_id, 4294967295 - (least & 4294967295)::BIGINT AS g FROM lows WHERE g = 1 OR g <= n - {window} + 1
 )
-SELECT k.doc_id, k.position::BIGINT AS position, (k.h >> 1)::BIGINT AS fingerprint
-FROM picked p JOIN hashed k ON p.doc_id = k.doc_id AND p.g = k.g"""
+SELECT k.doc_id, k.position::BIGINT AS position, (k.high << 31) + (k.low >> 1) AS fingerprint
+FROM picked p JOIN keyed k ON p.doc_id = k.doc_id AND p.g = k.g"""
