@@ -261,3 +261,29 @@ def list_array(values: pa.Array, lengths: np.ndarray) -> pa.ListArray:
     ends = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=ends[1:])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+
+#: DuckDB: the LOOSE words of a text, and a word in lower case.
+LOOSE_SQL = "list_transform(regexp_extract_all({}, '[A-Za-z0-9\\x{{80}}-\\x{{10FFFF}}]+'), lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))"
+
+
+def mix_sql(x: str) -> str:
+    """DuckDB: mix of an UBIGINT."""
+    times = lambda v, c: f"(({v})::UHUGEINT * {c}::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT"
+    x = times(f"xor({x}, {x} >> 30)", 0xBF58476D1CE4E5B9)
+    return f"list_transform([{x}], lambda a: list_transform([{times('xor(a, a >> 27)', 0x94D049BB133111EB)}], lambda b: xor(b, b >> 31))[1])[1]"
+
+
+def hashes_sql(source: str) -> str:
+    """DuckDB, within WITH RECURSIVE: hashed (w, h), the hashes of the words w of source."""
+    whole = "18446744073709551616"
+    byte = "(strpos('0123456789ABCDEF', h[2 * j + 1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2 * j + 2]) - 1"
+    return f"""vocabulary AS (
+  SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM ({source}))
+), powers(j, p) AS (
+  SELECT 0, 1::UHUGEINT UNION ALL SELECT j + 1, p * {_BASE}::UHUGEINT % {whole}::UHUGEINT FROM powers WHERE j < (SELECT max(length(h)) FROM vocabulary) // 2
+), summed AS (
+  SELECT w, (sum(({byte})::HUGEINT * p::HUGEINT) % {whole}::HUGEINT)::UBIGINT AS s FROM (SELECT w, unnest(range(length(h) // 2)) AS j, h FROM vocabulary) JOIN powers USING (j) GROUP BY w
+), hashed AS (
+  SELECT w, {mix_sql("s")} AS h FROM summed
+)"""

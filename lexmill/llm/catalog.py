@@ -20,5 +20,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_repeats": repeats.oracle(),
     "op6_neardup": neardup.oracle(),
+    "op8_decontaminate": decontaminate.oracle(),
     "op9_fingerprints": fingerprints.oracle(),
 }

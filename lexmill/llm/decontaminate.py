@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm._text import LOOSE, Words, buffers, mix, parted, prefix, ragged, slices, span_hash, table
+from lexmill.llm._text import LOOSE, LOOSE_SQL, Words, buffers, hashes_sql, mix, mix_sql, parted, prefix, ragged, slices, span_hash, table
 
 BITS, BLOCKS = 128, 12
 RADIUS = 2 * BLOCKS - 1
@@ -426,3 +426,57 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARI
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(spark.read.parquet(table(sf_dir, "documents")), spark.read.parquet(table(sf_dir, "benchmark")))
+
+
+def oracle(least: float = SIMILARITY, radius: int = RADIUS) -> str:
+    """The same rows in DuckDB, for items of LEAST_WORDS words or more in scripts with spaces: every window that holds enough weight, in full."""
+    pairs = "SELECT {0}, unnest(range(len(ws) - 1)) AS p, unnest(list_zip(ws[:-2], ws[2:])) AS pair, n FROM {1} WHERE n > 1"
+    signs = f"""SELECT {{0}}, sum(CASE WHEN one1 > 0 THEN 1::HUGEINT << b ELSE 0 END) AS p1, sum(CASE WHEN one2 > 0 THEN 1::HUGEINT << b ELSE 0 END) AS p2 FROM (
+    SELECT {{0}}, b, sum(((h1 >> b) & 1)::INT * 2 - 1) AS one1, sum(((h2 >> b) & 1)::INT * 2 - 1) AS one2
+    FROM (SELECT {{0}}, w, unnest(range({BITS // 2})) AS b FROM {{1}}) JOIN two USING (w) GROUP BY ALL) GROUP BY ALL"""
+    return f"""
+WITH RECURSIVE texts AS (
+  SELECT row_number() OVER () AS r, doc_id, {LOOSE_SQL.format("text")} AS ws, len(ws) AS n FROM documents WHERE text IS NOT NULL
+), items AS (
+  SELECT row_number() OVER () AS i, item_id, {LOOSE_SQL.format("text")} AS ws, len(ws) AS n FROM benchmark WHERE text IS NOT NULL AND len({LOOSE_SQL.format("text")}) >= {LEAST_WORDS}
+), weights AS (
+  SELECT pair, round(1000 * ln(1 + (SELECT count(*) FROM items) / count(DISTINCT i)))::BIGINT AS weight FROM ({pairs.format("i", "items")}) GROUP BY pair
+), own AS (
+  SELECT i, pair, count(*) AS tf, any_value(weight) AS weight FROM ({pairs.format("i", "items")}) JOIN weights USING (pair) GROUP BY i, pair
+), totals AS (
+  SELECT i, n, sum(tf * weight)::BIGINT AS total FROM own JOIN items USING (i) GROUP BY i, n
+), placed AS (
+  SELECT r, p, n, pair, weight, coalesce(weight, round(1000 * ln(1 + (SELECT count(*) FROM items)))::BIGINT) AS full_weight FROM ({pairs.format("r", "texts")}) LEFT JOIN weights USING (pair)
+), sums AS (
+  SELECT r, p + 1 AS p, n, sum(coalesce(weight, 0)) OVER w AS known, sum(full_weight) OVER w AS whole FROM placed WINDOW w AS (PARTITION BY r ORDER BY p ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT r, 0, n, 0, 0 FROM texts WHERE n > 1
+), eligible AS (
+  SELECT r, i, any_value(total) AS total, any_value(totals.n) AS n
+  FROM (SELECT d.r, o.i, any_value(o.weight) * least(any_value(o.tf), count(*)) AS shared FROM placed d JOIN own o USING (pair) GROUP BY d.r, o.i, o.pair) JOIN totals USING (i)
+  GROUP BY r, i HAVING sum(shared) >= {least} * any_value(total)
+), windows AS (
+  SELECT a.r, a.p AS s, least(a.p + t.n, a.n) AS e, t.i, t.total, b.known - a.known AS known, b.whole - a.whole AS whole
+  FROM eligible t JOIN sums a ON a.r = t.r JOIN sums b ON b.r = a.r AND b.p = greatest(least(a.p + t.n, a.n) - 1, a.p) WHERE b.known - a.known >= {least} * t.total
+), common AS (
+  SELECT r, s, e, i, sum(weight * least(tf, c))::BIGINT AS shared
+  FROM (SELECT x.r, s, e, x.i, o.pair, o.tf, o.weight, count(*) AS c FROM windows x JOIN placed d ON d.r = x.r AND d.p >= s AND d.p < e - 1 JOIN own o ON o.i = x.i AND o.pair = d.pair GROUP BY ALL) GROUP BY ALL
+), scored AS (
+  SELECT r, s, e, i, shared / (total + whole - shared) AS similarity FROM common JOIN windows USING (r, s, e, i) WHERE shared / (total + whole - shared) >= {least}
+), found AS (
+  SELECT DISTINCT r, s, e FROM scored
+), inside AS (
+  SELECT f.r, f.s, f.e, unnest(ws[s + 1:e]) AS w FROM found f JOIN texts USING (r)
+), said AS (
+  SELECT i, unnest(ws) AS w FROM items
+), {hashes_sql("SELECT w FROM inside UNION SELECT w FROM said")}, two AS (
+  SELECT w, {mix_sql("xor(h, 1::UBIGINT)")} AS h1, {mix_sql("xor(h, 2::UBIGINT)")} AS h2 FROM hashed
+), marks AS (
+  {signs.format("r, s, e", "inside")}
+), prints AS (
+  {signs.format("i", "said")}
+), near AS (
+  SELECT r, i, s, e, similarity FROM scored JOIN marks USING (r, s, e) JOIN prints USING (i) WHERE bit_count(xor(marks.p1, prints.p1)) + bit_count(xor(marks.p2, prints.p2)) <= {radius}
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY r, i ORDER BY similarity DESC, s, e - s) AS k FROM near
+)
+SELECT doc_id, item_id, similarity, s::INT AS start_word, (e - s)::INT AS n_words FROM best JOIN texts USING (r) JOIN items USING (i) WHERE k = 1"""

@@ -7,6 +7,7 @@ import pyarrow as pa
 
 from lexmill.llm import decontaminate as dc
 from lexmill.llm._text import LOOSE, buffers, mix, words
+from tests.conftest import compare
 
 
 def hashed(text):
@@ -81,6 +82,11 @@ def test_equals_brute_force(spark, docs):
     assert np.mean([k in found for k, v in every.items() if v[0] > 0.75]) > 0.97
 
 
+def test_same_rows_as_duckdb(spark, tiny):
+    left, right = compare(spark, tiny, dc.query, dc.oracle())
+    assert left == right and left[1]
+
+
 def test_passes_do_not_change_results(spark, docs):
     """Altered passages near the least similarity, and items that share word pairs with items of other passes."""
     rows, items = corpus(2)
