@@ -6,10 +6,17 @@ what they lack is added by position, so that every operator has something to do.
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PER_PAGE = 4
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +81,24 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("query_id"), query.alias("query"), "embedding")
 
 
+def embed_letters(chunks: DataFrame, column: str) -> DataFrame:
+    """chunks with an embedding that SQL can make too: how often each letter occurs."""
+    c = F.lower(column)
+    return chunks.withColumn("embedding", F.array(*((F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))).cast("float") for x in LETTERS)))
+
+
+def scratch(name: str) -> str:
+    """A folder for a table that a query writes: in the session's checkpoint folder, which all executors share, or, in one process, a temporary one."""
+    spark = SparkSession.active()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="lexmill-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, element_idx, page, text): blocks of which two in three don't know their page."""
     page = F.when(F.col("block_idx") % 3 == 0, F.col("page"))

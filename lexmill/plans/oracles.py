@@ -205,6 +205,32 @@ SMALL = BLOCKS_SQL + f""", small AS (
   FROM small WINDOW w AS (PARTITION BY doc_id ORDER BY block_idx)
 )""" + _pairs("led", "coalesce(length(content) < 200 AND list_cosine_similarity(embedding, nv) > 0.7, FALSE)")
 
+_LETTERS = "list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda x: (length(lower(s.content)) - length(replace(lower(s.content), x, '')))::DOUBLE)"
+HYBRID = SEGMENTS + f""", rows AS (SELECT doc_id, unnest(range(len(s)))::INT AS block_idx, unnest(s) AS s FROM segments), seg AS (
+  SELECT doc_id, block_idx, s.content AS content, s.start AS start_position, s.stop AS end_position, 'chunk_' || s.start || '_' || s.stop AS chunk_id, {_kind('s.content')} AS chunk_type, {_LETTERS} AS v FROM rows
+), led AS (
+  SELECT *, lead(content) OVER w AS nc, lead(chunk_id) OVER w AS ni, lead(end_position) OVER w AS ne, lead(v) OVER w AS nv FROM seg WINDOW w AS (PARTITION BY doc_id ORDER BY block_idx)
+)""" + _pairs("led", "coalesce(length(content) < 200 AND list_sum(v) > 0 AND list_sum(nv) > 0 AND list_cosine_similarity(v, nv) > 0.7, FALSE)") + """, pairs AS (
+  SELECT doc_id, block_idx AS chunk_idx, chunk_type, start_position, CASE WHEN role = 1 THEN 'merged_' || chunk_id || '_' || ni ELSE chunk_id END AS chunk_id,
+    CASE WHEN role = 1 THEN content || chr(10) || chr(10) || nc ELSE content END AS content, CASE WHEN role = 1 THEN ne ELSE end_position END AS end_position FROM roles WHERE role < 2
+), behind AS (SELECT *, floor(length(content) * 0.15)::INT AS n, lag(content) OVER (PARTITION BY doc_id ORDER BY chunk_idx) AS prev FROM pairs),
+hybrid AS (
+  SELECT doc_id, chunk_idx, chunk_id, chunk_type, CASE WHEN length(prev) > n THEN CASE WHEN n = 0 THEN prev ELSE right(prev, n) END || chr(10) || content ELSE content END AS content, start_position::INT AS start_position, end_position::INT AS end_position FROM behind
+)"""
+
+
+def _visible(c: str) -> str:
+    for tag in ("script", "style", "head", "noscript", "template"):
+        c = rf"regexp_replace({c}, '(?is)<{tag}\b[^>]*>.*?</{tag}\s*>', '', 'g')"
+    c = rf"regexp_replace(regexp_replace({c}, '(?s)<!--.*?-->', '', 'g'), '<![^>]*>', '', 'g')"
+    c = rf"regexp_replace({c}, '(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|body|html|title|pre)\b[^>]*>', chr(10), 'g')"
+    c = f"regexp_replace({c}, '<[^>]*>', '', 'g')"
+    for name, code in (("nbsp", 160), ("lt", 60), ("gt", 62), ("quot", 34), ("copy", 169), ("middot", 183), ("amp", 38)):
+        c = f"regexp_replace({c}, '&{name};?', chr({code}), 'g')"
+    lines = rf"list_transform(string_split({c}, chr(10)), lambda x: trim(regexp_replace(x, '[\s\x{{A0}}]+', ' ', 'g')))"
+    return f"array_to_string(list_filter({lines}, lambda x: x <> ''), chr(10))"
+
+
 _TOC_LINE = r"(?:Part|Chapter|Sub-chapter|Section|ANNEX|APPEBDIX)\s+[\dIVXLCDM]+\..+?\s*\.{3,}\s*\d+"
 _STARTS = (r"Part\s+[IVXLCDM]+\.", r"Chapter\s+\d+\.", r"Sub-chapter\s+\d+\.\d+\.", r"Section\s+\d+\.\d+\.\d+\.")
 STRIPPED = JOINED_SQL + f""", parted AS (
@@ -256,6 +282,8 @@ ORACLE_SQL = {
     "cross_refs": rf"WITH {BLOCKS_SQL} SELECT doc_id, ref, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, 'see\s+(?:section|article|clause)\s+\d+(?:\.\d+)*', 0, 'i')) AS ref FROM blocks) GROUP BY ALL",
     "small_merge": f"WITH {SMALL} SELECT doc_id, block_idx AS chunk_idx, CASE WHEN role = 1 THEN 'merged_' || chunk_id || '_' || ni ELSE chunk_id END AS chunk_id, CASE WHEN role = 1 THEN content || chr(10) || chr(10) || nc ELSE content END AS content, array_to_string(CASE WHEN role = 1 THEN list_concat(cited, nt) ELSE cited END, '|') AS cited, CASE WHEN role = 1 THEN ne ELSE end_position END AS end_position FROM roles WHERE role < 2",
     "overlap_prefix": f"WITH {BLOCKS_SQL}, o AS (SELECT doc_id, block_idx, text, floor(length(text) * 0.15)::INT AS n, lag(text) OVER w AS prev, lag('chunk_' || block_idx || '_' || page) OVER w AS prev_id FROM blocks WINDOW w AS (PARTITION BY doc_id ORDER BY block_idx)), p AS (SELECT doc_id, block_idx AS chunk_idx, CASE WHEN length(prev) > n THEN CASE WHEN n = 0 THEN prev ELSE right(prev, n) END || chr(10) || text ELSE text END AS content, CASE WHEN length(prev) > n THEN prev_id ELSE '' END AS overlap_with FROM o) SELECT * FROM p WHERE length(content) >= 200",
+    "hybrid_chunks": f"WITH {HYBRID} SELECT * FROM hybrid WHERE length(content) >= 200",
+    "html_pages": f"SELECT page_id, {_visible('html')} AS text FROM pages",
     "embed_text": f"WITH {CHUNKS_SQL} SELECT id, CASE WHEN headers <> '' THEN headers || chr(10) || chr(10) || content ELSE content END AS embedding_text, {_preview('content')} AS preview FROM chunks",
     "query_terms": f"WITH {CHUNKS_SQL}, {_TERMS} SELECT query_id, query, array_to_string(list_concat(numbers, words), '|') AS terms, array_to_string(numbers, '|') AS numbers, array_to_string(refs, '|') AS refs, regexp_matches(lower(query), 'compliance officer|appointment|requirements') AS officers FROM terms",
     "cosine_topk": f"WITH {NEAR} SELECT id, score FROM near WHERE query_id = 20 ORDER BY score DESC, id LIMIT 10",

@@ -10,6 +10,7 @@ from lexmill.functions import text as T
 from lexmill.operators import chunking as C
 from lexmill.operators import retrieval as R
 from lexmill.operators import structure as S
+from lexmill.operators import vector_index
 from lexmill.plans import fixture as fx
 from lexmill.sources import readers, sinks
 
@@ -168,7 +169,7 @@ def overlap_prefix(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def hybrid_chunks(spark: SparkSession, d: str) -> DataFrame:
-    rows = C.hybrid(fx.joined(spark, d), R.embed_hashed)
+    rows = C.hybrid(fx.joined(spark, d), fx.embed_letters)
     return rows.select("doc_id", "chunk_idx", "chunk_id", "chunk_type", "content", "start_position", "end_position")
 
 
@@ -177,6 +178,12 @@ def semantic_clusters(spark: SparkSession, d: str) -> DataFrame:
     return R.cluster(fx.chunks(spark, d)).select("id", "semantic_cluster")
 
 
+@query
+def document_clusters(spark: SparkSession, d: str) -> DataFrame:
+    rows = R.embed_hashed(C.marker_segments(fx.joined(spark, d)), "content")
+    return R.cluster_documents(rows).select("doc_id", "chunk_idx", "semantic_cluster")
+
+
 @query
 def embed_text(spark: SparkSession, d: str) -> DataFrame:
     return fx.chunks(spark, d).select("id", T.embedding_text(F.col("headers"), F.col("content")).alias("embedding_text"), T.preview(F.col("content")).alias("preview"))
@@ -201,6 +208,20 @@ def batch_topk(spark: SparkSession, d: str) -> DataFrame:
     return R.top_cosine_batch(fx.chunks(spark, d), fx.queries(spark, d))
 
 
+@query
+def index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Approximate search: an index of all chunks, asked by every twentieth."""
+    path = fx.scratch("index")
+    vector_index.build(fx.chunks(spark, d), path)
+    return vector_index.search(spark, path, fx.queries(spark, d))
+
+
+@query
+def html_element_types(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.explode(readers.elements(F.col("html"))).alias("e"))
+    return rows.groupBy("page_id", F.col("e.type").alias("type")).agg(F.count("*").alias("n"))
+
+
 @query
 def boosted_topk(spark: SparkSession, d: str) -> DataFrame:
     return R.search(fx.chunks(spark, d), fx.queries(spark, d)).select("query_id", "rank", "id", "score")

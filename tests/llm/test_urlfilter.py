@@ -3,6 +3,7 @@ import random
 from itertools import product
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexmill.llm import urlfilter as u
 
@@ -59,6 +60,72 @@ def test_learns_and_equals_brute_force(spark):
     assert model.odds["p:winnow"] > 0 > model.odds["p:tools"]
 
 
+def plain_bayes(urls, model, known=None, smoothing=0.5):
+    """Odds of all words by counting them in loops; hosts are split by the model."""
+    seen = {}
+    pages = [0, 0]
+    for k, url in enumerate(urls):
+        found = model.words(url)
+        if found is None or (known is not None and known[k] is None):
+            continue
+        tagged = [f"h:{w}" for w in found[1]] + [f"p:{w}" for w in found[2]]
+        bad = any(w[2:] in u.SEEDS for w in tagged) if known is None else known[k]
+        pages[not bad] += 1
+        for w in tagged:
+            seen.setdefault(w, [0, 0])[not bad] += 1
+    out = {}
+    for kind in "hp":
+        mine = {w: n for w, n in seen.items() if w[0] == kind}
+        totals = [sum(n[i] + smoothing for n in mine.values()) for i in (0, 1)]
+        out |= {w: math.log((n[0] + smoothing) / totals[0]) - math.log((n[1] + smoothing) / totals[1]) for w, n in mine.items()}
+    return math.log((pages[0] + 1) / (pages[1] + 1)), out
+
+
+def test_counts_against_loops(spark, tiny):
+    rows = spark.read.parquet(f"{tiny}/pages.parquet")
+    model = u.train(rows)
+    prior, odds = plain_bayes([r.url for r in rows.select("url").collect()], model)
+    assert model.prior == pytest.approx(prior) and model.odds == pytest.approx(odds)
+
+
+def made_up(seed, n):
+    """URLs of which unwanted ones hold words of their own, and one in two of these a seed too."""
+    r = random.Random(seed)
+    good, bad = ["garden", "tools", "river", "school", "library", "recipe", "travel", "music"], ["lucky", "bonus", "jackpots", "spin", "winner", "vegas"]
+    rows = []
+    for i in range(n):
+        wrong = r.random() < 0.3
+        words = [r.choice(bad if wrong and r.random() < 0.8 else good) for _ in range(3)]
+        seeded = wrong and r.random() < 0.5
+        host = "".join(words[:2]) + ("casino" if seeded else "")
+        rows.append((f"http://{host}.example.org/{words[2]}/{i}", " ".join(good + bad + ["casino"]), wrong, seeded))
+    return rows
+
+
+def test_held_out_pages_without_a_seed_word(spark):
+    schema = "url string, html string, wrong boolean, seeded boolean"
+    rows, other = spark.createDataFrame(made_up(1, 1500), schema), spark.createDataFrame(made_up(2, 600), schema)
+    right = lambda label: [(r.blocked == r.wrong) for r in u.filter_urls(other, u.train(rows, label=label)).where("NOT seeded").collect()]
+    assert sum(right("wrong")) / len(right("wrong")) > 0.9
+    assert sum(right(None)) / len(right(None)) > 0.85  # seeds alone as labels
+    half = rows.withColumn("some", F.when(F.length("url") % 2 == 0, F.col("wrong")))
+    model = u.train(half, label="some")
+    prior, odds = plain_bayes([r.url for r in half.collect()], model, [r.some for r in half.collect()])
+    assert model.prior == pytest.approx(prior) and model.odds == pytest.approx(odds)
+
+
+def test_tables_score_like_a_model_that_is_sent(spark, tiny):
+    rows = spark.read.parquet(f"{tiny}/pages.parquet").select("url", "html", F.lit("k").alias("scored"), F.lit("q").alias("blocked"))
+    odd = spark.createDataFrame([(None, None, "k", "q"), ("", "", "k", "q"), ("nohost", "x", "k", "q"), ("http://www.com/", "", "k", "q"), ("http://" + "luckycasino" * 400 + ".org/" + "a/" * 5000, "", "k", "q"), ("http://luckycasino.org/a", "", "k", "q"), ("http://luckycasino.org/a", "", "k", "q")], rows.schema)
+    rows = rows.unionByName(odd)
+    small, large = u.train(rows), u.train(rows, limit=0)
+    assert isinstance(small, u.UrlModel) and isinstance(large, u.UrlTables)
+    key = lambda r: repr((r.url, r.host, r.host_words, r.blocked_, None if r.spam_score is None else round(r.spam_score, 6)))
+    a, b = (sorted(map(key, u.filter_urls(rows, m).collect())) for m in (small, large))
+    assert a == b and len(a) == rows.count()
+    assert u.filter_urls(rows.where("url = 'no'"), large).count() == 0
+
+
 def test_rare_words_keep_their_odds(spark):
     """60,000 common path words leave no word out, be it of hosts or of the dictionary."""
     names = ["qz" + "".join("bcdfghjklmnprstv"[i >> k & 15] for k in (12, 8, 4, 0)) for i in range(60_000)]

@@ -1,6 +1,9 @@
 import importlib
+import importlib.util
 import sys
 
+import pytest
+
 
 def test_entry_has_rows(spark):
     import __spark_entry__ as e
@@ -21,6 +24,17 @@ def test_rest_works_without_training_data_operators(monkeypatch):
     monkeypatch.delitem(sys.modules, "__spark_entry__")
 
 
+def test_broken_training_data_operators_are_an_error(monkeypatch):
+    for name in [m for m in sys.modules if m.startswith("lexmill.llm") or m in ("corpus_pipeline", "__spark_entry__")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "lexmill.llm.pii", None)
+    if importlib.util.find_spec("lexmill.llm") is None:
+        return
+    with pytest.raises(ImportError):
+        importlib.import_module("__spark_entry__")
+    monkeypatch.delitem(sys.modules, "__spark_entry__", raising=False)
+
+
 def test_nothing_else_imports_them():
     import ast
     import pathlib
