@@ -1,21 +1,28 @@
-"""Near-duplicate documents: SimHash fingerprints searched through BK-trees.
+"""Near-duplicate documents: SimHash fingerprints, all pairs of which within a radius are found.
 
 A fingerprint has BITS bits, each the sign of a sum over the document's distinct words,
-weighted by the length in bits of their counts. It is cut into BLOCKS blocks. Two
-documents are linked whose fingerprints differ in RADIUS bits at most and, in some block,
-in one bit at most. Every pair that differs in GUARANTEED bits at most has such a block.
-
-A shard is a value of a block. Its tree holds the fingerprints that have this value, and
-its queries are those and the ones that have it but for one bit, which is 0 in them: so
-every pair meets. Children are keyed by their Hamming distance to the parent, and queries
-follow only edges within the radius. A shard's tree stands with its queries, so that
-nothing that grows with the corpus is broadcast; that of a crowded shard is cut into
-pieces of bounded size, and each piece meets all queries.
+weighted by the length in bits of their counts. Two documents are linked whose
+fingerprints differ in RADIUS bits at most: all such pairs, none left out.
+
+Fingerprints are cut into radius // (SPARE + 1) + 1 blocks. Two that differ in SPARE + 1
+bits or more in each block would differ in more than radius bits, so every pair within
+the radius differs in SPARE bits at most in some block, and counts in the first such.
+
+A shard is a block and the value of its first few bits. It holds the fingerprints that
+have this value, sorted by their blocks, and is asked by those and by the ones that have
+a lesser value but for SPARE bits at most. What asks looks up each greater block value
+that its own turns into by as many flips as are left, and is compared with all that have
+it. A shard stands with what asks it, so that nothing that grows with the corpus is
+broadcast; a crowded shard and what asks it are cut into pieces of bounded size, and each
+piece meets all of the other side. Where a radius leaves blocks too few bits to select by,
+there is one shard, cut likewise, whose pieces are searched as BK-trees.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +32,12 @@ from pyspark.sql.window import Window
 
 from lexmill.llm._text import LOOSE, LOOSE_SQL, buffers, drop_table, fresh, hashes_sql, mix, mix_sql, ragged, slices, stash, table, words
 
-#: Bits of a fingerprint, a multiple of 64; blocks; bits in which linked fingerprints may differ, and in which they always are linked.
-BITS, BLOCKS, RADIUS = 128, 8, 20
-GUARANTEED = 2 * BLOCKS - 1
-#: Members of a tree, rows that are searched together, and visits of nodes at once.
-MEMBERS, ROWS, VISITS = 1 << 16, 1 << 18, 1 << 22
+#: Bits of a fingerprint, a multiple of 64; bits in which linked fingerprints may differ, and in which the closest block of a linked pair may.
+BITS, RADIUS, SPARE = 128, 20, 2
+#: Bits of a block that are looked at, and with fewer of which trees are searched instead; bits of a block that shards may have.
+WIDEST, NARROWEST, HIGH = 20, 10, 6
+#: Members of a shard's piece, and rows that ask it for each; rows that are sent together; pairs that are compared at once, visits of trees at once, and pairs that are held.
+MEMBERS, ASKING, ROWS, VISITS, TREE_VISITS, PAIRS = 1 << 18, 4, 1 << 18, 1 << 16, 1 << 22, 1 << 20
 #: Distinct words whose bits are added up at once.
 _PART = 1 << 15
 
@@ -163,94 +171,188 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = low
 
 
-def _blocks(values: np.ndarray) -> np.ndarray:
-    """Block values of fingerprints, a column each."""
-    size = values.shape[1] * 8 // BLOCKS
-    each = values.view(np.uint8).reshape(len(values), BLOCKS, size).astype(np.int32)
-    return (each << (8 * np.arange(size - 1, -1, -1, dtype=np.int32))).sum(2, dtype=np.int32)
-
-
-def _shards(batches: Iterator[pa.RecordBatch], crowded: dict[int, int]) -> Iterator[pa.RecordBatch]:
-    """(shard, piece, role, fingerprint, n) of fingerprints: role 0 in the tree and asking, 1 in the tree, 2 asking.
-
-    crowded has the pieces of the trees that are cut. What asks in a crowded shard, or
-    comes from one, is dealt out likewise, so that no group holds all of it.
+@dataclass(frozen=True)
+class _Plan:
+    """How fingerprints are dealt out: blocks as (first bit, bits), bits of the shards, and for crowded shards how many pieces they and what asks them have."""
+
+    radius: int
+    blocks: tuple[tuple[int, int], ...]
+    high: int = 0
+    crowded: dict[int, tuple[int, int]] = field(default_factory=dict)
+
+    @classmethod
+    def of(cls, bits: int, radius: int) -> _Plan:
+        """Without shards; one block of no bits where blocks would be too narrow."""
+        n = radius // (SPARE + 1) + 1
+        ends = [bits * k // n for k in range(n + 1)]
+        return cls(radius, tuple((a, min(b - a, WIDEST)) for a, b in pairwise(ends)) if bits // n >= NARROWEST else ((0, 0),))
+
+    def dealt(self, counts: np.ndarray, members: int) -> _Plan:
+        """With shards and pieces for these counts of fingerprints by block and its first HIGH bits."""
+        if not self.blocks[0][1]:
+            own = int(counts[0].sum())
+            return replace(self, crowded={0: (-(-own // members), -(-own // members))} if own > members else {})
+        high = min(max(2, (int(counts[0].sum()) // members).bit_length()), HIGH)
+        crowded = {}
+        for b, each in enumerate(counts.reshape(len(counts), 1 << high, -1).sum(2)):
+            asks = each.copy()
+            for flips in _masks(high, SPARE)[1:]:
+                lower = np.arange(len(each)) ^ flips
+                asks += np.where(lower < np.arange(len(each)), each[lower], 0)
+            cut = np.maximum(-(-each // members), 1), np.maximum(-(-asks // (ASKING * members)), 1)
+            crowded |= {b << HIGH | c: (t, a) for c, (t, a) in enumerate(zip(*(x.tolist() for x in cut), strict=True)) if t * a > 1 and each[c]}
+        return replace(self, high=high, crowded=crowded)
+
+
+def _masks(width: int, most: int) -> list[int]:
+    """Numbers of width bits of which most are set at most, 0 first."""
+    return [sum(1 << i for i in x) for k in range(min(most, width) + 1) for x in combinations(range(width), k)]
+
+
+def _block(values: np.ndarray, first: int, width: int) -> np.ndarray:
+    """The bits of fingerprints from the first on as a number."""
+    k, shift = divmod(first, 64)
+    out = values[:, k] >> np.uint64(shift)
+    if shift + width > 64:
+        out = out | values[:, k + 1] << np.uint64(64 - shift)
+    return (out & np.uint64((1 << width) - 1)).astype(np.int64)
+
+
+def _shards(batches: Iterator[pa.RecordBatch], plan: _Plan) -> Iterator[pa.RecordBatch]:
+    """(shard, piece, role, fingerprint, n) of fingerprints: role 0 a member that asks too, 1 a member, 2 asking.
+
+    In a crowded shard a member stands in one of its pieces for each piece of what asks,
+    and what asks the other way round.
     """
     names = ["shard", "piece", "role", "fingerprint", "n"]
+    trees, asking = np.ones(len(plan.blocks) << HIGH, np.int64), np.ones(len(plan.blocks) << HIGH, np.int64)
+    for s, cut in plan.crowded.items():
+        trees[s], asking[s] = cut
     for batch in batches:
-        values = _prints(batch.column(0))
-        if not len(values):
+        if not batch.num_rows:
             continue
-        width = values.shape[1] * 64 // BLOCKS
-        blocks = _blocks(values)
-        hashed = mix(values[:, 0]).astype(np.int64) & 0x7FFFFFFF
-        for b in range(BLOCKS):
-            own = blocks[:, b]
-            parts = [(np.arange(len(own)), own, np.zeros(len(own), np.int8))]
-            for j in range(width):
-                zero = np.flatnonzero((own >> j) & 1 == 0)
-                parts.append((zero, own[zero] | np.int32(1 << j), np.full(len(zero), 2, np.int8)))
-            row, value, role = (np.concatenate(x) for x in zip(*parts, strict=True))
-            shard, piece = value | np.int32(b << width), np.zeros(len(row), np.int32)
-            if crowded:
-                kinds, at = np.unique(shard, return_inverse=True)
-                trees = np.array([crowded.get(s, 1) for s in kinds.tolist()])
-                asking = np.array([max(crowded.get(s, 1), *(crowded.get(s & ~(1 << j), 1) for j in range(width) if s >> j & 1), 1) for s in kinds.tolist()])
-                trees, asking = trees[at], asking[at]
-                cut = (trees > 1) | (asking > 1)
-                member = np.flatnonzero(cut & (role == 0))
-                asks = np.flatnonzero(cut)
-                # A member meets all pieces of the queries, a query all pieces of the tree.
-                m, q = np.repeat(member, asking[member]), np.repeat(asks, trees[asks])
-                piece = np.concatenate([piece[~cut], hashed[row[m]] % trees[m] * asking[m] + ragged(asking[member]), ragged(trees[asks]) * asking[q] + hashed[row[q]] % asking[q]]).astype(np.int32)
-                role = np.concatenate([role[~cut], np.full(len(m), 1, np.int8), np.full(len(q), 2, np.int8)])
-                row, shard = (np.concatenate([x[~cut], x[m], x[q]]) for x in (row, shard))
-            for a in range(0, len(row), ROWS):
-                r = row[a : a + ROWS]
-                columns = [pa.array(shard[a : a + ROWS]), pa.array(piece[a : a + ROWS]), pa.array(role[a : a + ROWS]), _binary(values[r]), batch.column(1).take(pa.array(r))]
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-
-def _found(shard: np.ndarray, piece: np.ndarray, role: np.ndarray, values: np.ndarray, copies: np.ndarray, radius: int) -> pa.RecordBatch | None:
-    """(fingerprint, root, links) of what is linked in some shards: the least linked fingerprint here, and copies of those linked."""
-    group = np.cumsum(np.concatenate([[0], (shard[1:] != shard[:-1]) | (piece[1:] != piece[:-1])]))
-    inside = np.flatnonzero(role < 2)
-    forest = BkForest(values[inside], group[inside])
-    size = np.bincount(group[inside], minlength=group[-1] + 1)
-    asks = np.flatnonzero((role != 1) & (size[group] > 0))
-    visits = np.cumsum(size[group[asks]])
-    width = values.shape[1] * 64 // BLOCKS
-    left, right, counted = [], [], []
-    at = 0
-    while at < len(asks):
-        end = max(at + 1, int(np.searchsorted(visits, (visits[at - 1] if at else 0) + VISITS, "right")))
-        some = asks[at:end]
-        at = end
-        for q, m in forest.search(values[some], group[some], radius):
-            q, m = some[q], inside[m]
-            apart = (values[q] != values[m]).any(1)
-            q, m = q[apart], m[apart]
-            # Each pair counts where its first such block is; two members of a shard find each other twice.
-            both = _blocks(values[q] ^ values[m])
-            close = np.bitwise_count(both) <= 1
-            here = shard[q] >> width
-            once = (close.argmax(1) == here) & ((both[np.arange(len(q)), here] != 0) | _above(values[q], values[m]))
-            left.append(q)
-            right.append(m)
-            counted.append(once)
-    q, m, once = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right, counted))
-    if not len(q):
+        values = _prints(batch.column(0))
+        hashed = np.zeros(len(values), np.uint64)
+        for k in range(values.shape[1]):
+            hashed = mix(hashed ^ values[:, k])
+        of_tree, of_asks = (hashed >> np.uint64(32)).astype(np.int64), (hashed & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        for b, (first, width) in enumerate(plan.blocks):
+            cell = _block(values, first, width) >> (width - plan.high)
+            for flips in _masks(plan.high, SPARE):
+                row = np.flatnonzero(cell ^ flips > cell) if flips else np.arange(len(cell))
+                shard, role = cell[row] ^ flips | b << HIGH, np.full(len(row), 2 if flips else 0)
+                piece = np.zeros(len(row), np.int64)
+                cut = trees[shard] * asking[shard] > 1
+                if cut.any():
+                    asks = np.flatnonzero(cut)
+                    member = asks if not flips else asks[:0]
+                    t, a = trees[shard], asking[shard]
+                    m, q = np.repeat(member, a[member]), np.repeat(asks, t[asks])
+                    m_piece = of_tree[row[m]] % t[m] * a[m] + ragged(a[member])
+                    q_piece = ragged(t[asks]) * a[q] + of_asks[row[q]] % a[q]
+                    piece = np.concatenate([piece[~cut], m_piece, q_piece])
+                    role = np.concatenate([role[~cut], np.full(len(m), 1), np.full(len(q), 2)])
+                    row, shard = (np.concatenate([x[~cut], x[m], x[q]]) for x in (row, shard))
+                for i in range(0, len(row), ROWS):
+                    r = row[i : i + ROWS]
+                    columns = [pa.array(shard[i : i + ROWS], pa.int32()), pa.array(piece[i : i + ROWS], pa.int32()), pa.array(role[i : i + ROWS], pa.int8()), _binary(values[r]), batch.column(1).take(pa.array(r))]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+
+def _near(shard: int, role: np.ndarray, values: np.ndarray, plan: _Plan) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(asking, member) rows of a piece of a shard that are within the radius, each pair of the shard once."""
+    inside, asks = np.flatnonzero(role < 2), np.flatnonzero(role != 1)
+    if not len(inside) or not len(asks):
+        return
+    first, width = plan.blocks[shard >> HIGH]
+    if not width:
+        forest = BkForest(values[inside], np.zeros(len(inside), np.int64))
+        step = max(1, TREE_VISITS // len(inside))
+        for i in range(0, len(asks), step):
+            some = asks[i : i + step]
+            for q, m in forest.search(values[some], np.zeros(len(some), np.int64), plan.radius):
+                above = _above(values[inside[m]], values[some[q]])
+                yield some[q[above]], inside[m[above]]
+        return
+    low = width - plan.high
+    block = _block(values, first, width)
+    cell, inner = block >> low, block & ((1 << low) - 1)
+    inside, asks = inside[np.argsort(inner[inside], kind="stable")], asks[np.argsort(block[asks], kind="stable")]
+    start = np.zeros((1 << low) + 1, np.int64)
+    np.cumsum(np.bincount(inner[inside], minlength=1 << low), out=start[1:])
+    # Bits outside the block come first, since those in it hardly differ.
+    words = sorted(range(values.shape[1]), key=lambda k: k == (first + width // 2) // 64)
+    of_all = [np.ascontiguousarray(values[:, k]) for k in words]
+    of_inside = [x[inside] for x in of_all]
+    lead = np.flatnonzero(np.concatenate([[True], cell[asks[1:]] != cell[asks[:-1]]]))
+    for i, j in zip(lead, [*lead[1:], len(asks)], strict=True):
+        flips = int(cell[asks[i]]) ^ (shard & ((1 << HIGH) - 1))
+        for mask in _masks(low, SPARE - flips.bit_count()):
+            q = asks[i:j]
+            at = inner[q] ^ mask
+            if mask and not flips:
+                q, at = (x[at > inner[q]] for x in (q, at))
+            begin = start[at]
+            count = start[at + 1] - begin
+            some = count > 0
+            q, begin, count = q[some], begin[some], count[some]
+            until = np.cumsum(count)
+            x = 0
+            while x < len(q):
+                base = until[x - 1] if x else 0
+                y = max(x + 1, int(np.searchsorted(until, base + VISITS, "right")))
+                n = count[x:y]
+                m = np.repeat(begin[x:y] - (until[x:y] - n - base), n)
+                m += np.arange(len(m))
+                asked = np.repeat(q[x:y], n)
+                d = np.bitwise_count(np.repeat(of_all[0][q[x:y]], n) ^ of_inside[0][m]).astype(np.int16)
+                for k in range(1, len(words)):
+                    keep = np.flatnonzero(d <= plan.radius)
+                    m, asked = m[keep], asked[keep]
+                    d = d[keep] + np.bitwise_count(of_all[k][asked] ^ of_inside[k][m])
+                keep = d <= plan.radius
+                asked, m = asked[keep], inside[m[keep]]
+                if not mask and not flips:
+                    keep = _above(values[m], values[asked])
+                    asked, m = asked[keep], m[keep]
+                yield asked, m
+                x = y
+
+
+def _found(shard: int, role: np.ndarray, values: np.ndarray, copies: np.ndarray, plan: _Plan) -> pa.RecordBatch | None:
+    """(fingerprint, root, links) of what is linked in a piece of a shard: one that is linked with it, maybe through others, and copies of those linked.
+
+    A pair counts in its first close block, and only there.
+    """
+    n = len(role)
+    root, links = np.arange(n), np.zeros(n, np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    count = 0
+
+    def merged() -> np.ndarray:
+        a, b = (np.concatenate(x) for x in zip((np.arange(n), root), *held, strict=True))
+        return _roots(n, a, b)
+
+    for q, m in _near(shard, role, values, plan):
+        if len(q):
+            apart = values[q] ^ values[m]
+            new = np.ones(len(q), bool)
+            for first, width in plan.blocks[: shard >> HIGH]:
+                new &= np.bitwise_count(_block(apart, first, width)) > SPARE
+            q, m = q[new], m[new]
+            np.add.at(links, q, copies[m])
+            np.add.at(links, m, copies[q])
+            new = root[q] != root[m]
+            held.append((q[new], m[new]))
+            count += int(new.sum())
+            if count > PAIRS:
+                root, held, count = merged(), [], 0
+    if held:
+        root = merged()
+    some = np.flatnonzero(links)
+    if not len(some):
         return None
-    rows, number = np.unique(np.concatenate([q, m]), return_inverse=True)
-    whole = np.ascontiguousarray(values[rows]).view(np.dtype((np.void, values.shape[1] * 8))).ravel()
-    kinds, of = np.unique(whole, return_inverse=True)
-    number = of[number]
-    q_kind, m_kind = number[: len(q)], number[len(q) :]
-    some_row = np.empty(len(kinds), np.int64)
-    some_row[of] = rows
-    root = _roots(len(kinds), q_kind, m_kind)
-    links = np.bincount(q_kind[once], copies[m[once]], len(kinds)) + np.bincount(m_kind[once], copies[q[once]], len(kinds))
-    return pa.RecordBatch.from_arrays([_binary(values[some_row]), _binary(values[some_row[root]]), pa.array(links.astype(np.int64))], ["fingerprint", "root", "links"])
+    return pa.RecordBatch.from_arrays([_binary(values[some]), _binary(values[root[some]]), pa.array(links[some])], ["fingerprint", "root", "links"])
 
 
 def _above(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -263,42 +365,28 @@ def _above(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _link(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """What _found gives for sorted rows of _shards, some whole groups at a time.
-
-    Of a group of more than ROWS rows only the tree is kept: what asked has been answered,
-    and a member that comes later comes after those before it.
-    """
+def _link(batches: Iterator[pa.RecordBatch], plan: _Plan) -> Iterator[pa.RecordBatch]:
+    """What _found gives for rows of _shards sorted by shard and piece, a piece at a time."""
     held: list[tuple[np.ndarray, ...]] = []
-    count = 0
 
-    def solve(rows: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-        out = _found(*rows, radius) if len(rows[0]) else None
-        if out is not None:
-            yield out
+    def solve() -> Iterator[pa.RecordBatch]:
+        if held:
+            shard, _, *rows = (np.concatenate(x) for x in zip(*held, strict=True))
+            out = _found(int(shard[0]), *rows, plan)
+            if out is not None:
+                yield out
 
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append((*(np.asarray(batch.column(k)) for k in range(3)), _prints(batch.column(3)), np.asarray(batch.column(4))))
-        count += batch.num_rows
-        if count < ROWS:
-            continue
-        rows = tuple(np.concatenate(x) for x in zip(*held, strict=True))
-        shard, piece, role = rows[:3]
-        last = (shard == shard[-1]) & (piece == piece[-1])
-        begin = int(np.argmax(last))
-        if begin:
-            yield from solve(tuple(x[:begin] for x in rows))
-            rest = tuple(x[begin:] for x in rows)
-        else:
-            yield from solve(rows)
-            tree = role < 2
-            rest = tuple(x[tree] for x in rows)
-            rest = (*rest[:2], np.ones(int(tree.sum()), np.int8), *rest[3:])
-        held, count = [rest], len(rest[0])
-    if held:
-        yield from solve(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
+        rows = (*(np.asarray(batch.column(k)) for k in range(3)), _prints(batch.column(3)), np.asarray(batch.column(4)))
+        ends = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])) + 1
+        for a, b in pairwise([0, *ends.tolist(), batch.num_rows]):
+            if a == b:
+                continue
+            if held and (held[-1][0][-1] != rows[0][a] or held[-1][1][-1] != rows[1][a]):
+                yield from solve()
+                held = []
+            held.append(tuple(x[a:b] for x in rows))
+    yield from solve()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -327,38 +415,44 @@ def components(edges: DataFrame) -> DataFrame:
         e = now_e
 
 
-def _crowded(prints: DataFrame, members: int) -> dict[int, int]:
-    """Pieces of the trees that would have more than members; 2**(bits / BLOCKS) * BLOCKS of them at most."""
+def _counts(prints: DataFrame, plan: _Plan) -> np.ndarray:
+    """How many fingerprints there are by block and its first HIGH bits."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             values = _prints(batch.column(0))
-            shards = _blocks(values) | (np.arange(BLOCKS, dtype=np.int32) << (values.shape[1] * 64 // BLOCKS)) if len(values) else np.zeros(0, np.int32)
+            shards = np.concatenate([_block(values, first, width) >> max(width - HIGH, 0) | b << HIGH for b, (first, width) in enumerate(plan.blocks)])
             kinds, n = np.unique(shards, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(n, pa.int64())], ["shard", "n"])
 
-    counted = prints.select("fingerprint").mapInArrow(own, "shard int, n bigint").groupBy("shard").agg(F.sum("n").alias("n"))
-    rows = counted.where(F.col("n") > members).toArrow()
-    return {s: -(-n // members) for s, n in zip(rows["shard"].to_pylist(), rows["n"].to_pylist(), strict=True)}
+    rows = prints.select("fingerprint").mapInArrow(own, "shard int, n bigint").groupBy("shard").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(plan.blocks) << HIGH, np.int64)
+    out[np.asarray(rows["shard"])] = np.asarray(rows["n"])
+    return out.reshape(len(plan.blocks), -1)
 
 
 def groups(docs: DataFrame, radius: int = RADIUS, text: str = "text", key: str = "doc_id", bits: int = BITS, members: int = MEMBERS) -> DataFrame:
     """(doc_id, fingerprint, group_id, group_size, n_links) of the rows of docs that have words.
 
-    Rows are linked whose fingerprints are (see above), and what is linked through others
+    Rows are linked whose fingerprints differ in radius bits at most, and what is linked through others
     is one group; group_id is its least doc_id, and n_links counts the rows with which a
     row is linked itself, those of the same fingerprint among them. Rows with a null
     doc_id, a null text or a text without words are in no group and have no row here; an
     empty table gives none. Repeated rows count each. Whole texts are read, however long;
-    other columns aren't. bits is a multiple of 64; more of them make shards smaller.
+    other columns aren't. bits is a multiple of 64, and members what a shard's piece holds.
     """
     signed = docs.select(F.col(key).alias("doc_id"), signature(F.col(text), bits).alias("fingerprint"))
     signed = stash(signed.where("doc_id IS NOT NULL AND fingerprint IS NOT NULL"), "signatures")
     prints = stash(signed.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "fingerprints")
-    crowded = _crowded(prints, members)
-    rows = prints.select("fingerprint", "n").mapInArrow(lambda x: _shards(x, crowded), "shard int, piece int, role tinyint, fingerprint binary, n bigint")
-    rows = rows.repartition("shard", "piece").sortWithinPartitions("shard", "piece", "role", "fingerprint")
-    linked = stash(rows.mapInArrow(lambda x: _link(x, radius), "fingerprint binary, root binary, links bigint"), "links")
+    plan = _Plan.of(bits, radius)
+    plan = plan.dealt(_counts(prints, plan), members)
+    rows = prints.select("fingerprint", "n").mapInArrow(lambda x: _shards(x, plan), "shard int, piece int, role tinyint, fingerprint binary, n bigint")
+    # A number of partitions of its own, since few rows can be much work.
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "shard", "piece").sortWithinPartitions("shard", "piece")
+    linked = stash(rows.mapInArrow(lambda x: _link(x, plan), "fingerprint binary, root binary, links bigint"), "links")
     roots = components(linked.select(F.col("fingerprint").alias("a"), F.col("root").alias("b")))
     links = linked.groupBy("fingerprint").agg(F.sum("links").alias("links"))
     labels = prints.join(links, "fingerprint", "left").join(roots, F.col("fingerprint") == F.col("node"), "left")
@@ -410,7 +504,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oracle(radius: int = RADIUS) -> str:
     """The same rows in DuckDB: all pairs of fingerprints, and everything that can be reached from each."""
     half = BITS // 128 * 64
-    block = " OR ".join(f"bit_count((({p} >> {16 * b}) & 65535)::BIGINT) <= 1" for p in ("x1", "x2") for b in range(4))
     return f"""
 WITH RECURSIVE rows AS (
   SELECT doc_id, row_number() OVER () AS r, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
@@ -428,7 +521,7 @@ WITH RECURSIVE rows AS (
 ), pairs AS (
   SELECT a.k AS a, b.k AS b, b.n AS n, xor(a.p1, b.p1) AS x1, xor(a.p2, b.p2) AS x2 FROM prints a JOIN prints b ON a.k <> b.k
 ), linked AS (
-  SELECT a, b, n FROM pairs WHERE bit_count(x1::HUGEINT) + bit_count(x2::HUGEINT) <= {radius} AND ({block})
+  SELECT a, b, n FROM pairs WHERE bit_count(x1::HUGEINT) + bit_count(x2::HUGEINT) <= {radius}
 ), reach(a, b) AS (
   SELECT k, k FROM prints UNION SELECT reach.a, linked.b FROM reach JOIN linked ON reach.b = linked.a
 ), grouped AS (

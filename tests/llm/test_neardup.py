@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from lexmill.llm import neardup as nd
 from lexmill.llm._text import buffers
@@ -34,8 +35,7 @@ def brute(rows, radius=nd.RADIUS):
     root = list(range(len(rows)))
     for a in range(len(rows)):
         for b in range(a):
-            x = rows[a][1] ^ rows[b][1]
-            if x.bit_count() <= radius and any((x >> 16 * k & 0xFFFF).bit_count() <= 1 for k in range(8)):
+            if (rows[a][1] ^ rows[b][1]).bit_count() <= radius:
                 near[a][b] = near[b][a] = True
                 keep, lose = sorted((root[a], root[b]))
                 root = [keep if r == lose else r for r in root]
@@ -91,18 +91,40 @@ def test_groups_against_brute_force(docs):
     assert not set(found) - set(truth)
     want = brute(rows)
     assert same(nd.groups(docs(rows))) == want
-    # Trees cut into pieces give the same.
-    assert same(nd.groups(docs(rows), members=2)) == want
+    # Shards cut into pieces give the same.
+    assert same(nd.groups(docs(rows), members=20)) == want
+    # So does a radius that leaves blocks too narrow, for which trees are searched.
+    assert same(nd.groups(docs(rows), radius=40, members=100)) == brute(rows, 40)
 
 
-def test_every_pair_within_the_guarantee_shares_a_block():
+@pytest.mark.parametrize(("bits", "radius"), [(128, nd.RADIUS), (128, 0), (128, 7), (64, 12), (256, 20), (256, 60)])
+def test_every_pair_within_the_radius_has_a_close_block(bits, radius):
     r = np.random.default_rng(3)
-    a = r.integers(0, 2**63, (4000, 2), dtype=np.uint64)
+    a = r.integers(0, 2**64, (4000, bits // 64), dtype=np.uint64)
     b = a.copy()
     for row in b:
-        for bit in r.choice(128, nd.GUARANTEED, replace=False):
+        for bit in r.choice(bits, radius, replace=False):
             row[bit // 64] ^= np.uint64(1 << int(bit % 64))
-    assert (np.bitwise_count(nd._blocks(a ^ b)) <= 1).any(1).all()
+    close = [np.bitwise_count(nd._block(a ^ b, *x)) <= nd.SPARE for x in nd._Plan.of(bits, radius).blocks]
+    assert np.any(close, axis=0).all()
+
+
+def test_links_without_a_block_that_differs_in_one_bit(docs):
+    """Pairs of 16 to 20 bits that differ in two bits or more in each of eight blocks of 16 bits."""
+    r = random.Random(11)
+    rows = []
+    for f in range(1500):
+        base = [f"w{r.randrange(5000)}" for _ in range(60)]
+        rows += [(2 * f, " ".join(base)), (2 * f + 1, " ".join(base[:-5] + [f"x{r.randrange(5000)}" for _ in range(5)]))]
+    prints, _ = nd._signatures(*buffers(pa.array([t for _, t in rows])))
+    apart = prints[::2] ^ prints[1::2]
+    far = np.bitwise_count(apart).sum(1) <= nd.RADIUS
+    far &= (np.bitwise_count(apart.view(np.uint16)) > 1).all(1)
+    assert far.sum() >= 3
+    rows = [x for f in np.flatnonzero(far).tolist() for x in rows[2 * f : 2 * f + 2]]
+    found = same(nd.groups(docs(rows)))
+    assert found == brute(rows)
+    assert all(n for _, _, _, n in found)
 
 
 def test_all_pairs_of_a_table(spark):
@@ -111,8 +133,7 @@ def test_all_pairs_of_a_table(spark):
     prints, some = nd._signatures(*buffers(pa.array([t for _, t in rows])))
     ids, prints = np.array([i for i, _ in rows])[some], prints[some]
     d = np.bitwise_count(prints[:, None] ^ prints[None]).sum(2)
-    near = (d <= nd.RADIUS) & (np.bitwise_count(nd._blocks((prints[:, None] ^ prints[None]).reshape(-1, 2))) <= 1).any(1).reshape(d.shape)
-    assert near[d <= nd.GUARANTEED].all()
+    near = d <= nd.RADIUS
     a, b = np.nonzero(near)
     root = nd._roots(len(ids), a, b)
     group = [ids[root == x].min() for x in root]
@@ -137,7 +158,7 @@ def test_one_of_each_group_stays(docs):
     assert sum(i not in truth for i, _ in left) == 10 and any("another" in t for _, t in left)
 
 
-def test_big_group(docs, monkeypatch):
+def test_big_group(docs):
     rows, _ = corpus(seed=9, families=0, singles=1)
     base = rows[0][1].split()
     many = [(i, " ".join(base[:-1] + [f"end{i % 400}"])) for i in range(1500)]
@@ -145,22 +166,20 @@ def test_big_group(docs, monkeypatch):
     assert len(out) == 1500 and {r.group_id for r in out} == {0} and {r.group_size for r in out} == {1500}
     assert [r.doc_id for r in out if r.keep] == [0]
     assert {r.n_links for r in out} == {1499}
-    # A shard of more rows than are held, and one whose tree is cut besides.
-    for members, held in ((1 << 16, 50), (7, 50)):
-        real = nd._link
-        monkeypatch.setattr(nd, "ROWS", held)
-        prints = np.unique(nd._signatures(*buffers(pa.array([t for _, t in many])))[0], axis=0)
-        table = pa.record_batch([nd._binary(prints), pa.array(np.ones(len(prints), np.int64))], ["fingerprint", "n"])
-        crowded = {}
-        if members < 100:
-            kinds, n = np.unique(nd._blocks(prints) | (np.arange(8, dtype=np.int32) << 16), return_counts=True)
-            crowded = {int(s): -(-int(k) // members) for s, k in zip(kinds, n, strict=True) if k > members}
-        rows = pa.Table.from_batches(nd._shards(iter([table]), crowded)).sort_by([(c, "ascending") for c in ("shard", "piece", "role", "fingerprint")])
-        found = pa.Table.from_batches(list(real(iter(rows.to_batches(max_chunksize=17)), nd.RADIUS)))
+    # Shards whole and cut, in batches that cut them besides.
+    prints = np.unique(nd._signatures(*buffers(pa.array([t for _, t in many])))[0], axis=0)
+    table = pa.record_batch([nd._binary(prints), pa.array(np.ones(len(prints), np.int64))], ["fingerprint", "n"])
+    plan = nd._Plan.of(128, nd.RADIUS)
+    counts = np.array([np.bincount(nd._block(prints, first, width) >> (width - nd.HIGH), minlength=1 << nd.HIGH) for first, width in plan.blocks])
+    for members in (nd.MEMBERS, 7):
+        dealt = plan.dealt(counts, members)
+        assert bool(dealt.crowded) == (members == 7)
+        rows = pa.Table.from_batches(nd._shards(iter([table]), dealt)).sort_by([("shard", "ascending"), ("piece", "ascending")])
+        found = pa.Table.from_batches(list(nd._link(iter(rows.to_batches(max_chunksize=17)), dealt)))
         links = {}
         for f, k in zip(found["fingerprint"].to_pylist(), found["links"].to_pylist(), strict=True):
             links[f] = links.get(f, 0) + k
-        assert set(links.values()) == {len(np.unique(prints, axis=0)) - 1} and len(links) == len(np.unique(prints, axis=0))
+        assert set(links.values()) == {len(prints) - 1} and len(links) == len(prints)
 
 
 def test_components(spark):
