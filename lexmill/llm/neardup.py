@@ -36,6 +36,8 @@ from lexmill.llm._text import LOOSE, LOOSE_SQL, buffers, drop_table, fresh, hash
 BITS, RADIUS, SPARE = 128, 20, 2
 #: Bits of a block that are looked at, and with fewer of which trees are searched instead; bits of a block that shards may have.
 WIDEST, NARROWEST, HIGH = 20, 10, 6
+#: Fingerprints that ask with the same block, and pairs of them and of what they ask, from which on all of them are compared at once.
+ALIKE, CROWD = 4, 1 << 11
 #: Members of a shard's piece, and rows that ask it for each; rows that are sent together; pairs that are compared at once, visits of trees at once, and pairs that are held.
 MEMBERS, ASKING, ROWS, VISITS, TREE_VISITS, PAIRS = 1 << 18, 4, 1 << 18, 1 << 16, 1 << 22, 1 << 20
 #: Distinct words whose bits are added up at once.
@@ -259,6 +261,45 @@ def _shards(batches: Iterator[pa.RecordBatch], plan: _Plan) -> Iterator[pa.Recor
                     yield pa.RecordBatch.from_arrays(columns, names)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, piece, rows) of rows of _shards: those of a shard's piece together as bytes, about ROWS of all at a time, so that few rows are shuffled and sorted."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def pack() -> pa.RecordBatch:
+        shard, piece, role, values, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        key = shard.astype(np.int64) << 32 | piece
+        order = np.argsort(key, kind="stable")
+        lead = np.flatnonzero(np.concatenate([[True], key[order[1:]] != key[order[:-1]]]))
+        rows = [values[x].tobytes() + n[x].tobytes() + role[x].tobytes() for x in np.split(order, lead[1:])]
+        first = order[lead]
+        return pa.RecordBatch.from_arrays([pa.array(shard[first]), pa.array(piece[first]), pa.array(rows, pa.binary())], ["shard", "piece", "rows"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(_arrays(batch))
+        if sum(len(x[0]) for x in held) >= ROWS:
+            yield pack()
+            held = []
+    if held:
+        yield pack()
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """The rows that _packed packed."""
+    for batch in batches:
+        for shard, piece, rows in zip(*(batch.column(k) for k in range(3)), strict=True):
+            data = np.frombuffer(rows.as_buffer(), np.uint8)
+            n = len(data) // (bits // 8 + 9)
+            values, counts, role = np.split(data, [n * bits // 8, n * (bits // 8 + 8)])
+            columns = [pa.array(np.full(n, shard.as_py(), np.int32)), pa.array(np.full(n, piece.as_py(), np.int32)), pa.array(role.view(np.int8)), _binary(values.copy().view(np.uint64).reshape(n, -1)), pa.array(counts.copy().view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "piece", "role", "fingerprint", "n"])
+
+
+def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """The columns of rows of _shards."""
+    return (*(np.asarray(batch.column(k)) for k in range(3)), _prints(batch.column(3)), np.asarray(batch.column(4)))
+
+
 def _near(shard: int, role: np.ndarray, values: np.ndarray, plan: _Plan) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(asking, member) rows of a piece of a shard that are within the radius, each pair of the shard once."""
     inside, asks = np.flatnonzero(role < 2), np.flatnonzero(role != 1)
@@ -287,8 +328,32 @@ def _near(shard: int, role: np.ndarray, values: np.ndarray, plan: _Plan) -> Iter
     lead = np.flatnonzero(np.concatenate([[True], cell[asks[1:]] != cell[asks[:-1]]]))
     for i, j in zip(lead, [*lead[1:], len(asks)], strict=True):
         flips = int(cell[asks[i]]) ^ (shard & ((1 << HIGH) - 1))
-        for mask in _masks(low, SPARE - flips.bit_count()):
-            q = asks[i:j]
+        masks = np.array(_masks(low, SPARE - flips.bit_count()))
+        # What asks with the same block is compared with the same members: all of it at once where that pays.
+        own = inner[asks[i:j]]
+        alike = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        kind, many = own[alike], np.diff(np.append(alike, j - i))
+        each = np.zeros(len(kind), np.int64)
+        for mask in masks.tolist():
+            at = kind ^ mask
+            each += np.where((at >= kind) | (flips > 0), start[at + 1] - start[at], 0)
+        crowd = (many >= ALIKE) & (many * each >= CROWD)
+        for g in np.flatnonzero(crowd).tolist():
+            at = kind[g] ^ masks
+            begin = start[at]
+            count = np.where((at >= kind[g]) | (flips > 0), start[at + 1] - begin, 0)
+            m = np.repeat(begin - np.cumsum(count) + count, count)
+            m += np.arange(len(m))
+            q = asks[i + alike[g] : i + alike[g] + many[g]]
+            for asked, found in _square([x[q] for x in of_all], [x[m] for x in of_inside], plan.radius):
+                asked, found = q[asked], inside[m[found]]
+                if not flips:
+                    keep = np.flatnonzero((inner[found] > kind[g]) | _above(values[found], values[asked]))
+                    asked, found = asked[keep], found[keep]
+                yield asked, found
+        rest = asks[i:j][~np.repeat(crowd, many)]
+        for mask in masks.tolist():
+            q = rest
             at = inner[q] ^ mask
             if mask and not flips:
                 q, at = (x[at > inner[q]] for x in (q, at))
@@ -319,6 +384,44 @@ def _near(shard: int, role: np.ndarray, values: np.ndarray, plan: _Plan) -> Iter
                 x = y
 
 
+def _square(a: list[np.ndarray], b: list[np.ndarray], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(number in a, number in b) of all pairs within the radius; a and b are fingerprints by 64-bit words, every one of a against every one of b."""
+    wide = max(1, min(len(b[0]), VISITS // ALIKE))
+    high = min(len(a[0]), VISITS // wide)
+    # All words are compared before any pair is picked, in place: about a sixth of the pairs are near by one word alone.
+    bits, one = np.empty(high * wide, np.uint64), np.empty(high * wide, np.uint8)
+    sums = np.empty(high * wide, np.uint8 if len(a) < 4 else np.uint16)
+    for y in range(0, len(b[0]), wide):
+        right = [x[y : y + wide] for x in b]
+        for x in range(0, len(a[0]), high):
+            shape = len(a[0][x : x + high]), len(right[0])
+            apart, d, each = (buffer[: shape[0] * shape[1]].reshape(shape) for buffer in (bits, sums, one))
+            for k, (left, other) in enumerate(zip(a, right, strict=True)):
+                np.bitwise_xor(left[x : x + high, None], other, out=apart)
+                np.bitwise_count(apart, out=each if k else d)
+                if k:
+                    np.add(d, each, out=d)
+            at = np.flatnonzero(d <= radius)
+            if len(at):
+                i = at // shape[1]
+                yield x + i, y + at - i * shape[1]
+
+
+def _joined(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs, VISITS or more at a time but for the last."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    count = 0
+    for pair in pairs:
+        if len(pair[0]):
+            held.append(pair)
+            count += len(pair[0])
+        if count >= VISITS:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, count = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def _found(shard: int, role: np.ndarray, values: np.ndarray, copies: np.ndarray, plan: _Plan) -> pa.RecordBatch | None:
     """(fingerprint, root, links) of what is linked in a piece of a shard: one that is linked with it, maybe through others, and copies of those linked.
 
@@ -333,7 +436,7 @@ def _found(shard: int, role: np.ndarray, values: np.ndarray, copies: np.ndarray,
         a, b = (np.concatenate(x) for x in zip((np.arange(n), root), *held, strict=True))
         return _roots(n, a, b)
 
-    for q, m in _near(shard, role, values, plan):
+    for q, m in _joined(_near(shard, role, values, plan)):
         if len(q):
             apart = values[q] ^ values[m]
             new = np.ones(len(q), bool)
@@ -377,7 +480,7 @@ def _link(batches: Iterator[pa.RecordBatch], plan: _Plan) -> Iterator[pa.RecordB
                 yield out
 
     for batch in batches:
-        rows = (*(np.asarray(batch.column(k)) for k in range(3)), _prints(batch.column(3)), np.asarray(batch.column(4)))
+        rows = _arrays(batch)
         ends = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])) + 1
         for a, b in pairwise([0, *ends.tolist(), batch.num_rows]):
             if a == b:
@@ -448,11 +551,11 @@ def groups(docs: DataFrame, radius: int = RADIUS, text: str = "text", key: str =
     prints = stash(signed.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "fingerprints")
     plan = _Plan.of(bits, radius)
     plan = plan.dealt(_counts(prints, plan), members)
-    rows = prints.select("fingerprint", "n").mapInArrow(lambda x: _shards(x, plan), "shard int, piece int, role tinyint, fingerprint binary, n bigint")
+    rows = prints.select("fingerprint", "n").mapInArrow(lambda x: _packed(_shards(x, plan)), "shard int, piece int, rows binary")
     # A number of partitions of its own, since few rows can be much work.
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "shard", "piece").sortWithinPartitions("shard", "piece")
-    linked = stash(rows.mapInArrow(lambda x: _link(x, plan), "fingerprint binary, root binary, links bigint"), "links")
+    linked = stash(rows.mapInArrow(lambda x: _link(_unpacked(x, bits), plan), "fingerprint binary, root binary, links bigint"), "links")
     roots = components(linked.select(F.col("fingerprint").alias("a"), F.col("root").alias("b")))
     links = linked.groupBy("fingerprint").agg(F.sum("links").alias("links"))
     labels = prints.join(links, "fingerprint", "left").join(roots, F.col("fingerprint") == F.col("node"), "left")

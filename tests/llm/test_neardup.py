@@ -1,6 +1,8 @@
 import random
 import re
+import time
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -203,3 +205,50 @@ def test_odd(odd, none):
     kept = [r.doc_id for r in nd.deduplicate(odd).collect()]
     assert sorted(kept, key=str) == sorted([1, 2, 3, 4, None, None, 6, 7, 8, 9, 10], key=str)
     assert nd.near_duplicates(none).count() == 0 and nd.deduplicate(none).count() == 0
+
+
+def test_what_asks_alike_is_compared_at_once(monkeypatch):
+    """Crowded blocks give all pairs, each once, in less time than one member at a time; rows packed for the shuffle come back whole."""
+    r = np.random.default_rng(6)
+    plan = nd._Plan.of(128, nd.RADIUS)
+    prints = np.zeros((3000, 2), np.uint64)
+    prints[:, 1] = r.integers(0, 2**64, 3000, dtype=np.uint64)
+    prints[:, 0] = r.integers(0, 2**64, 3000, dtype=np.uint64) << np.uint64(18) | r.integers(0, 8, 3000).astype(np.uint64)
+    near = prints[:1000].copy()
+    for row in near:
+        for bit in r.choice(128, int(r.integers(1, 22)), replace=False):
+            row[bit // 64] ^= np.uint64(1 << int(bit % 64))
+    prints = np.unique(np.concatenate([prints, near]), axis=0)
+    counts = np.array([np.bincount(nd._block(prints, first, width) >> (width - nd.HIGH), minlength=1 << nd.HIGH) for first, width in plan.blocks])
+    table = pa.record_batch([nd._binary(prints), pa.array(np.arange(len(prints)))], ["fingerprint", "n"])
+    d = np.bitwise_count(prints[:, None] ^ prints[None]).sum(2)
+    want = {(a, b) for a, b in np.argwhere(d <= nd.RADIUS).tolist() if a < b}
+    for members in (nd.MEMBERS, 700):
+        dealt = plan.dealt(counts, members)
+        plain = pa.Table.from_batches(nd._shards(iter([table]), dealt))
+        packed = pa.Table.from_batches(nd._packed(nd._shards(iter([table]), dealt)))
+        assert packed.num_rows < plain.num_rows / 10
+        rows = pa.Table.from_batches(nd._unpacked(iter(packed.to_batches(max_chunksize=5)), 128))
+        by = [(x, "ascending") for x in ("shard", "piece", "role", "fingerprint", "n")]
+        assert rows.num_rows == plain.num_rows and rows.sort_by(by).to_pydict() == plain.sort_by(by).to_pydict()
+        found = []
+        shard, piece, role, values, n = (np.concatenate(x) for x in zip(*map(nd._arrays, rows.to_batches()), strict=True))
+        for s, p in {*zip(shard.tolist(), piece.tolist(), strict=True)}:
+            own = np.flatnonzero((shard == s) & (piece == p))
+            for q, m in nd._near(s, role[own], values[own], dealt):
+                found += [(s >> nd.HIGH, *sorted(x)) for x in zip(n[own[q]].tolist(), n[own[m]].tolist(), strict=True)]
+        assert len(found) == len(set(found)) and {x[1:] for x in found} == want
+
+    crowd = r.integers(0, 2**64, (20_000, 2), dtype=np.uint64)
+    crowd[:, 0] = crowd[:, 0] << np.uint64(18) | r.integers(0, 8, len(crowd)).astype(np.uint64)
+    crowd[::2] = crowd[1::2] ^ np.array([1 << 40, 1 << 50], np.uint64)
+
+    def seconds():
+        began = time.process_time()
+        pairs = sum(len(q) for q, _ in nd._near(0, np.zeros(len(crowd), np.int8), crowd, replace(plan, high=2)))
+        return time.process_time() - began, pairs
+
+    quick = min(seconds() for _ in range(3))
+    monkeypatch.setattr(nd, "ALIKE", 1 << 40)
+    slow = min(seconds() for _ in range(3))
+    assert quick[1] == slow[1] == len(crowd) // 2 and quick[0] < slow[0] / 1.4
