@@ -96,8 +96,12 @@ def heading_sections(docs: DataFrame) -> DataFrame:
 def heading_gate(docs: DataFrame) -> DataFrame:
     """(doc_id, n_headings, structured): three headings at least, and 100 to 10,000 characters for each."""
     n = F.size(F.regexp_extract_all("text", F.lit(HEADING), F.lit(0)))
+    return docs.select("doc_id", n.alias("n_headings"), _structured(n).alias("structured"))
+
+
+def _structured(n: Column) -> Column:
     mean = F.length("text") / F.nullif(n, F.lit(0))
-    return docs.select("doc_id", n.alias("n_headings"), F.coalesce((n >= 3) & (mean >= 100) & (mean <= 10000), F.lit(False)).alias("structured"))
+    return F.coalesce((n >= 3) & (mean >= 100) & (mean <= 10000), F.lit(False))
 
 
 BREAKS = (r"\n\n+", r"\n\d+\.\s+", r"\n[•\-*]\s+", r"\n[A-Z][a-z]+:", r"\n(?=\([a-z]\))")
@@ -168,7 +172,9 @@ def recursive_pieces(text: Column, most: int, overlap: int) -> Column:
     """split_recursively over a column."""
     @F.arrow_udf("array<string>")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else split_recursively(t, most, overlap) for t in texts.to_pylist()], pa.list_(pa.string()))
+        kind = pa.list_(pa.string())
+        cut = lambda some: pa.array([None if t is None else split_recursively(t, most, overlap) for t in some.to_pylist()], kind)
+        return pa.concat_arrays([pa.array([], kind), *(cut(texts.slice(at, 256)) for at in range(0, len(texts), 256))])
 
     return run(text)
 
@@ -176,10 +182,10 @@ def recursive_pieces(text: Column, most: int, overlap: int) -> Column:
 def split_oversize(sections: DataFrame, most: int, overlap: int) -> DataFrame:
     """Sections (doc_id, chunk_idx, heading, content, ...) of more than most characters as parts, numbered in their heading."""
     size = F.length("content")
-    parts = F.posexplode(F.col("parts"))
-    large = sections.where(size > most).withColumn("parts", recursive_pieces(F.col("content"), most, overlap)).select("*", parts.alias("part", "piece"))
-    large = large.withColumns({"heading": F.concat("heading", F.lit(" (Part "), (F.col("part") + 1).cast("string"), F.lit(")")), "content": F.col("piece")}).drop("parts", "piece")
-    return sections.where(size <= most).withColumn("part", F.lit(None).cast("int")).unionByName(large)
+    rows = sections.withColumn("parts", recursive_pieces(F.when(size > most, F.col("content")), most, overlap)).select("*", F.posexplode_outer("parts").alias("part", "piece"))
+    rows = rows.where((size <= most) | F.col("part").isNotNull())
+    numbered = F.coalesce(F.concat("heading", F.lit(" (Part "), (F.col("part") + 1).cast("string"), F.lit(")")), F.col("heading"))
+    return rows.select(*(c for c in sections.columns if c not in ("heading", "content")), numbered.alias("heading"), F.coalesce("piece", "content").alias("content"), "part").select(*sections.columns, "part")
 
 
 def chunk_by_headings(docs: DataFrame, most: int = 2000, overlap: int = 200) -> DataFrame:
@@ -189,11 +195,12 @@ def chunk_by_headings(docs: DataFrame, most: int = 2000, overlap: int = 200) ->
 
 def chunk_with_fallback(docs: DataFrame, most: int = 1000, overlap: int = 70) -> DataFrame:
     """(doc_id, chunk_idx, part, heading, content, hierarchy, method): by headings where the structure is sound, else by breaks, else by size."""
-    gate = heading_gate(docs).where("structured").select("doc_id")
     columns = ["doc_id", "chunk_idx", "part", "heading", "content", "hierarchy", "method"]
-    sections = heading_sections(docs).join(gate, "doc_id", "left_semi").drop("n_headings")
-    first = split_oversize(sections, most, overlap).withColumn("method", F.lit("headings"))
-    rest = docs.join(sections.select("doc_id").distinct(), "doc_id", "left_anti")
+    # Each document's own row tells whether it has sections, so that no join is needed.
+    sound = _structured(F.size(F.regexp_extract_all("text", F.lit(HEADING), F.lit(0))))
+    filled = F.exists(F.slice(F.split("text", HEADING), 2, 2**30), lambda c: strip(c) != "")
+    first = split_oversize(heading_sections(docs.where(sound)).drop("n_headings"), most, overlap).withColumn("method", F.lit("headings"))
+    rest = docs.where(~(sound & F.coalesce(filled, F.lit(False))))
     has_break = F.lit(False)
     for pattern in BREAKS:
         has_break = has_break | (F.size(F.split("text", pattern)) > 1)
